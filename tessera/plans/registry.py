@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import importlib
+
+from tessera.plans.registration import ORACLES, QUERIES
+
+MODULES = ("preparing", "duplicates", "lexical")
+
+for _name in MODULES:
+    importlib.import_module(f"tessera.plans.{_name}")
+
+__all__ = ["ORACLES", "QUERIES"]
