@@ -6,7 +6,7 @@ import importlib
 
 from tessera.plans.registration import ORACLES, QUERIES
 
-MODULES = ("preparing", "duplicates", "lexical", "modelling", "ranking", "importing")
+MODULES = ("preparing", "duplicates", "lexical", "modelling", "ranking", "importing", "packing", "evaluating", "hygiene", "streams")
 
 for _name in MODULES:
     importlib.import_module(f"tessera.plans.{_name}")
