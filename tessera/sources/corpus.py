@@ -7,17 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.filerules import content_reason, decoded, early_reason, has_extension, line_count
 
-CATALOGUE = T.StructType.fromDDL("full_name string, stars int, size_kb int, license string, created_at string, pushed_at string, archived boolean, default_branch string")
-MANIFEST = T.StructType.fromDDL("repo string, path string, bytes bigint, lines int, tokens int, fold string, status string")
-CONTEXT = T.StructType.fromDDL(
+CATALOGUE = "full_name string, stars int, size_kb int, license string, created_at string, pushed_at string, archived boolean, default_branch string"
+MANIFEST = "repo string, path string, bytes bigint, lines int, tokens int, fold string, status string"
+CONTEXT = (
     "file string, pos int, qualifier struct<members: array<string>, type: string, package: string, total: int>, scope struct<locals: array<string>, pkg: array<string>, pkg_total: int>,"
     "imports array<string>, xrefs array<string>, rest_idents array<struct<n: string, p: int>>, ms map<string, double>"
 )
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "repo string, path string, line int, kind string, is_test boolean, in_string boolean, true string, gen string, stop string, probs array<double>, conf_gm3 double, conf_min double, conf_prod double,"
     "rest_len int, gen_len int, match int, first_ok boolean, ok3 boolean, exact boolean, typed string, healed boolean, heal_miss boolean, punct_only boolean, repeated boolean, useful boolean"
 )
@@ -54,7 +53,7 @@ def read_manifest(spark: SparkSession, path: str, fold: str | None = None) -> Da
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.select(*MANIFEST.names).write.mode("errorifexists").json(path)
+    manifest.select("repo", "path", "bytes", "lines", "tokens", "fold", "status").write.mode("errorifexists").json(path)
 
 
 def kept_by_repo(manifest: DataFrame) -> DataFrame:

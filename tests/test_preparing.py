@@ -25,7 +25,7 @@ def test_content_reasons(spark):
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     try:
         line = "x = '" + "a" * 2000 + "'\n"
-        contents = [b"a\x00b", b"\x70\x81\x8d", b"\x70\xff\xfe", b"// Code generated by tool. DO NOT EDIT.\npackage a\n", b"// generated by hand\n", line.encode(), b"package a\n\nfunc f() {}\n", b"\xff\xfea\x00"[:3], "// © 2020\n".encode("cp1252"), b"/* This file was generated */\n", b""]
+        contents = [b"a\x00b", b"\x70\x81\x8d", b"\x70\xff\xfe", b"// Code generated by tool. DO NOT EDIT.\npackage a\n", b"// generated by x, see y\n", line.encode(), b"package a\n\nfunc f() {}\n", b"\xff\xfea\x00"[:3], "// © 2020\n".encode("cp1252"), b"/* This file was generated */\n", b""]
         got = one(spark, [bytearray(c) for c in contents], "v binary", filerules.content_reason)
         assert got == ["binary", "non_utf8", None, "generated_marker", "generated_marker", "long_lines", None, "non_utf8", None, "generated_marker", None]
         assert one(spark, [bytearray("é".encode("cp1252"))], "v binary", filerules.decoded) == ["é"]
