@@ -249,9 +249,9 @@ def text_of(row: bytes) -> bytes:
     return row[start : start + before][::-1] + row[:GRAM] + row[GRAM + 2 : start]
 
 
-def merge_range(key: tuple, table: pa.Table) -> pa.Table:
-    """Answers of a range; rows of a negative part pass through to their block."""
-    if key[0].as_py() < 0:
+def merge_range(key: tuple, table: pa.Table, parts: int) -> pa.Table:
+    """Answers of a range; notes, which lie in parts beyond the ranges, pass through to their block."""
+    if key[0].as_py() >= parts:
         return table.select(["bid", "part", "vals"]).cast(_RUN_ARROW)
     table = table.sort_by("bid")
     bids, runs, docs = table.column("bid").to_pylist(), [], []
@@ -357,20 +357,20 @@ def send_suffixes(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
         lcp, rest = front_coded(rows[own])
         out.append({"bid": block.bid, "part": p, "vals": _join([pack_ints(lcp), squeeze(rest), pack_ints(least[own])])})
     note = _join([pack_ints(p1, delta=True), pack_ints(p2 - p1), pack_ints(number), pack_ints(least), pack_ints(at)])
-    out.append({"bid": block.bid, "part": -1 - block.bid % parts, "vals": note})
+    out.append({"bid": block.bid, "part": parts + block.bid % parts, "vals": note})
     return pa.Table.from_pylist(out, _RUN_ARROW)
 
 
 _SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+def remove(left: pa.Table, right: pa.Table, n_ranges: int) -> pa.Table:
     """Removal spans and kept bytes of a block's documents."""
     block = Block.of(left)
     n = len(block.body)
     gone = np.zeros(n + 1, np.int32)
     parts = dict(zip(right.column("part").to_pylist(), right.column("vals").to_pylist(), strict=True)) if len(right) else {}
-    note = next((v for p, v in parts.items() if p < 0), None)
+    note = next((v for p, v in parts.items() if p >= n_ranges), None)
     if note is not None:
         packed = _split(note)
         p1, width, number = unpack_ints(packed[0], delta=True), unpack_ints(packed[1]) + 1, unpack_ints(packed[2])
@@ -379,7 +379,7 @@ def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         best = least.copy()
         single: list[np.ndarray] = []
         for p, v in parts.items():
-            if p >= 0:
+            if p < n_ranges:
                 i, o, d = (unpack_ints(x, delta=k == 0) for k, x in enumerate(_split(v)))
                 i = i + at[p]
                 all_ = o < 0
@@ -430,11 +430,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for i in range(len(table)):
                 yield send_fingerprints(Block.of(table, i), parts)
 
-    twice = cut(blocks.mapInArrow(fingerprints, RUN).groupBy("part").applyInArrow(met_twice, RUN), "suffix-grams")
+    twice = cut(blocks.mapInArrow(fingerprints, RUN).repartitionById(parts, "part").groupBy("part").applyInArrow(met_twice, RUN), "suffix-grams")
     sent = blocks.groupBy("bid").cogroup(twice.groupBy("bid")).applyInArrow(lambda left, right: send_suffixes(left, right, parts), RUN)
-    answers = cut(sent.groupBy("part").applyInArrow(merge_range, RUN), "suffix-answers")
+    # ranges are of equal size: each is a task of its own, none shares one by the chance of a hash
+    dealt = sent.repartitionById(2 * parts, "part").groupBy("part")
+    answers = cut(dealt.applyInArrow(lambda key, table: merge_range(key, table, parts), RUN), "suffix-answers")
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    return blocks.groupBy("bid").cogroup(answers.groupBy("bid")).applyInArrow(remove, schema)
+    return blocks.groupBy("bid").cogroup(answers.groupBy("bid")).applyInArrow(lambda left, right: remove(left, right, parts), schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
