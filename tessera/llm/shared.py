@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,17 +25,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.getCheckpointDir().get()
 
 
+def release(spark: SparkSession, pause: float = 0.0) -> None:
+    """Let Spark drop the shuffle files of finished jobs that nothing refers to any more.
+
+    Listeners refer to a job for a moment after its end, and what a first collection
+    frees may be the last to refer to a shuffle; with a ``pause`` in seconds there are
+    two collections, each after the pause.
+    """
+    for _ in range(2 if pause else 1):
+        time.sleep(pause)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of it.
 
-    A lost executor then costs a reread instead of a recomputation. Shuffle
-    files of the finished job are released at once.
+    A lost executor then costs a reread instead of a recomputation. What earlier
+    jobs left is released first, so it does not lie beside this job's shuffle files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    release(spark)
     df.write.option("compression", "zstd").parquet(path)
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)

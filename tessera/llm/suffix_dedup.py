@@ -37,13 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.packing import BYTE_CODES, Block, mix, pack_blocks, pack_ints, squeeze, unpack_ints, unsqueeze
-from tessera.llm.shared import cut
+from tessera.llm.shared import cut, release
 
 WINDOW, GRAM = 50, 32
 REACH = WINDOW - GRAM  # windows file at most this far before their gram
 WIDTH = 72  # gram, two length bytes, up to 18 bytes after and 18 before, padding to a multiple of 8
 BITS = 48
 PART_BYTES = 24 << 20
+PAUSE = 1.0
 _CODES32 = (BYTE_CODES >> np.uint64(32)).astype(np.uint32)
 _ORDER_SALT = np.uint32(0x9E3779B1)
 RUN = "bid long, part int, vals binary"
@@ -432,9 +433,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     twice = cut(blocks.mapInArrow(fingerprints, RUN).repartitionById(parts, "part").groupBy("part").applyInArrow(met_twice, RUN), "suffix-grams")
     sent = blocks.groupBy("bid").cogroup(twice.groupBy("bid")).applyInArrow(lambda left, right: send_suffixes(left, right, parts), RUN)
+    release(docs.sparkSession, PAUSE)
     # ranges are of equal size: each is a task of its own, none shares one by the chance of a hash
     dealt = sent.repartitionById(2 * parts, "part").groupBy("part")
     answers = cut(dealt.applyInArrow(lambda key, table: merge_range(key, table, parts), RUN), "suffix-answers")
+    release(docs.sparkSession, PAUSE)
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     return blocks.groupBy("bid").cogroup(answers.groupBy("bid")).applyInArrow(lambda left, right: remove(left, right, parts), schema)
 
