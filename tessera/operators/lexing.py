@@ -104,3 +104,17 @@ def position_kind(first_of_line: Column, prev_kind: Column, prev_text: Column, a
         F.when(first_of_line, "line-start").when(prev_kind == "COMMENT", "after-comment").when(prev_text.isin(dots), "after-dot").when(prev_text.isin("(", "[", "{"), "after-open")
         .when(prev_text == ",", "after-comma").when(prev_text.isin(assign), "after-assign").when(prev_kind == "KEYWORD", "after-keyword").when(prev_kind == "IDENT", "after-ident").otherwise("after-other")
     )
+
+
+def code_part(line: Column, language: Language = PROSE) -> Column:
+    """A line without its trailing comment and blanks."""
+    marked = F.transform(pieces(line, language), lambda x: F.struct(piece_kind(x, language).alias("kind"), x.alias("piece")))
+    last = F.array_max(F.filter(F.transform(marked, lambda p, i: F.when(~p["kind"].isin("COMMENT", "SPACE", "NEWLINE"), i + 1)), lambda i: i.isNotNull()))
+    return F.array_join(F.transform(F.slice(marked, F.lit(1), F.coalesce(last, F.lit(0))), lambda p: p["piece"]), "")
+
+
+def evaluation_tokens(text: Column, language: Language = PROSE) -> Column:
+    """Tokens with comments kept, as evaluation compares them: array<struct<kind, text>>."""
+    marked = F.transform(pieces(text, language), lambda x: F.struct(piece_kind(x, language).alias("kind"), x.alias("piece")))
+    kept = F.filter(marked, lambda p: ~p["kind"].isin("SPACE", "NEWLINE", "OTHER"))
+    return F.transform(kept, lambda p: F.struct(p["kind"].alias("kind"), token_text(p["piece"], p["kind"]).alias("text")))

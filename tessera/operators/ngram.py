@@ -62,6 +62,13 @@ def counts(seq: DataFrame, order: int) -> dict[int, DataFrame]:
     return {n: t.groupBy("gram").agg(F.sum("c").alias("c"), F.count("*").alias("repos")) for n, t in raw_counts(seq, order).items()}
 
 
+def without_own(seq: DataFrame, order: int) -> DataFrame:
+    """file_id, gram, c: counts of the file's repository for the grams that the file has, without its own; only what is left."""
+    own = with_context(seq, order).select("repo", "file_id", gram_of(order).alias("gram")).groupBy("repo", "file_id", "gram").agg(F.count("*").alias("own"))
+    total = own.groupBy("repo", "gram").agg(F.sum("own").alias("total"))
+    return own.join(total, ["repo", "gram"]).select("file_id", "gram", (F.col("total") - F.col("own")).alias("c")).where("c > 0")
+
+
 def continuation(higher: DataFrame) -> DataFrame:
     """gram, c: in how many distinct longer grams it is the suffix."""
     return higher.groupBy(tail_of("gram").alias("gram")).agg(F.count("*").alias("c"))

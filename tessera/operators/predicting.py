@@ -58,6 +58,22 @@ def greedy(positions: DataFrame, model: ngram.Model, allowed: DataFrame, steps:
     return state.drop("ctx")
 
 
+def beam(positions: DataFrame, model: ngram.Model, allowed: DataFrame, steps: int, width: int) -> DataFrame:
+    """``positions`` (file_id, pos, ctx) with the ``width`` best continuations by summed logp: gen, logp, rank.
+
+    Every hypothesis grows by its ``width`` best words; a step keeps the ``width`` best of a position.
+    """
+    state = positions.select("file_id", "pos", "ctx", F.array().cast("array<string>").alias("gen"), F.lit(0.0).alias("logp"))
+    for _ in range(steps):
+        best = top_words(state.select("ctx").distinct(), model, width, allowed).select("ctx", F.col("w").alias("next"), F.col("logp").alias("more"))
+        grown = state.join(best, "ctx").select(
+            "file_id", "pos", F.array_join(F.concat(F.slice(F.split("ctx", " "), 2, model.order), F.array("next")), " ").alias("ctx"),
+            F.concat("gen", F.array("next")).alias("gen"), (F.col("logp") + F.col("more")).alias("logp"),
+        )
+        state = cut(top_per(grown, ["file_id", "pos"], [F.round("logp", 9).desc(), F.col("gen")], width), "beam-step")
+    return state.select("file_id", "pos", "gen", "logp", "rank")
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """Number of leading equal elements of two arrays."""
     equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))

@@ -342,6 +342,20 @@ def _continued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("match", predicting.common_prefix(F.col("gen"), F.col("true"))).withColumn("conf", predicting.head_confidence(F.transform("gen_logp", F.exp))).withColumn("n_gen", F.size("gen"))
 
 
+@query(f"""WITH {EVENT_SEQ}, {positions_sql(2, 'all_events')}, own AS (SELECT repo, file_id, gram, count(*) AS own FROM placed GROUP BY ALL), total AS (SELECT repo, gram, sum(own) AS total FROM own GROUP BY ALL)
+    SELECT file_id, gram, (total - own)::BIGINT AS c FROM own JOIN total USING (repo, gram) WHERE total > own""")
+def project_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rest of a repository knows about a file's bigrams."""
+    return ngram.without_own(event_seq(spark, sf_dir).unionByName(event_seq(spark, sf_dir, test=True)), 2)
+
+
+@query()
+def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ngram.with_context(event_seq(spark, sf_dir, test=True), 3).where("pos > 0 and pos % 16 = 0").select("file_id", "pos", F.concat_ws(" ", "p2", "p1").alias("ctx"))
+    found = predicting.beam(placed, event_model(spark, sf_dir), words_of(event_seq(spark, sf_dir)).where("word not like '<%'"), 4, 3)
+    return found.withColumn("logp", F.round("logp", 6))
+
+
 @query()
 def inline_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _continued(spark, sf_dir).select("file_id", "pos", "gen", "match", F.round("conf", 6).alias("conf"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import bytepairs as bp
+from tessera.functions import completion
 from tessera.functions.languages import CSHARP, GO
 from tessera.operators import bytepairs, cache, lexing, ngram, packing, predicting, vocabulary
 from tessera.sources import models
@@ -168,6 +169,36 @@ def test_cache(spark):
             c.add(w)
 
 
+def test_beam(spark):
+    seq = spark.createDataFrame([(1, "r", i, w) for i, w in enumerate("a b a c a b b c a a c b".split())], "file_id long, repo string, pos long, w string")
+    vocab = spark.createDataFrame([(w,) for w in "a b c <ID> <BOS> <EOS>".split()], "word string")
+    model = ngram.estimate(ngram.counts(seq, 2), 2, vocab).saved()
+    starts = spark.createDataFrame([(1, 0, "a")], "file_id long, pos long, ctx string")
+    got = predicting.beam(starts, model, vocab.where("word not like '<%'"), 3, 27).collect()
+    p = {r.gram: r.logp for r in ngram.score(spark.createDataFrame([(f"{x} {y}",) for x in "abc" for y in "abc"], "gram string"), model).collect()}
+    want = {(x, y, z): p[f"a {x}"] + p[f"{x} {y}"] + p[f"{y} {z}"] for x in "abc" for y in "abc" for z in "abc"}
+    assert {tuple(r.gen): pytest.approx(r.logp) for r in got} == want
+    best = predicting.beam(starts, model, vocab.where("word not like '<%'"), 2, 2).where("rank = 1").first()
+    assert len(best.gen) == 2
+
+
+def test_completion_helpers(spark):
+    rows = [("foo)", ")", "foo"), ("foo);", ");x", "foo"), ("foo", "bar", "foo"), ("a})", "}) ", "a"), ("x)", "y)", "x)"), ("", ")", "")]
+    df = spark.createDataFrame(rows, "t string, after string, want string")
+    assert all(r[0] == r[1] for r in df.select(completion.trim_closers(F.col("t"), F.col("after")), "want").collect())
+    flags = [(");", True), ("a;", False), ('"', False), ("é", False), ("", True)]
+    assert all(r[0] == r[1] for r in spark.createDataFrame(flags, "t string, y boolean").select(completion.punctuation_only(F.col("t")), "y").collect())
+    lines = [("x := 1 // note", "x := 1"), ("// only", ""), ('s := "// no"  ', 's := "// no"')]
+    assert all(r[0] == r[1] for r in spark.createDataFrame(lines, "t string, y string").select(lexing.code_part(F.col("t"), GO), "y").collect())
+    heal = [("\tfoo  ", 0, 6, 4), ("\t\t", 0, 2, 2), ("a b", 0, 2, 1)]
+    assert all(r[0] == r[1] for r in spark.createDataFrame(heal, "t string, bol int, b int, y int").select(completion.healed_boundary(F.col("t"), F.col("bol"), F.col("b")), "y").collect())
+    tails = [(100, [0, 40, 70], 100, 0), (300, [0, 128, 190, 210], 100, 210), (300, [0, 5], 100, 200)]
+    got = spark.createDataFrame(tails, "n int, s array<int>, target int, y int").select(completion.stable_tail(F.col("n"), F.col("s"), 100, 200, 64), "y").collect()
+    assert [r[0] for r in got] == [0, 210, 200]
+    kinds = spark.createDataFrame([("a // c",)], "t string").select(lexing.evaluation_tokens(F.col("t"), GO)).first()[0]
+    assert [k.kind for k in kinds] == ["IDENT", "COMMENT"]
+
+
 CASES = ["", "a", "if err != nil {\n\t\treturn err\n\t}\n", "a  b\t c \n\n  x", "日本語 naïve_é 12345", "x" * 300, "\r\n\r\n \t", "== != //", "é" * 100, "😀👨‍👩‍👧 end ", "tab\t", " lead", "a\rb"]
 
 
