@@ -62,7 +62,7 @@ def queued(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 def _queued(sizes: DataFrame, seed: int) -> DataFrame:
     targets = cut(source_targets(sizes), "mixing-targets")
     joined = sizes.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source")
-    joined = joined.withColumn("shuffled", F.xxhash64("doc_id", F.lit(seed)))
+    joined = joined.withColumn("shuffled", F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id"), F.lit(seed))), 1, 15), 16, 10).cast("long"))
     tie = ["key"] if "key" in sizes.columns else []
     total = running_total(joined, ["rank", "shuffled", "doc_id", "size", *tie], F.col("size"), "ahead", "mixing-queue")
     starts = targets.select(F.col("rank"), F.coalesce(F.sum("source_size").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, katz, media, mixing, pii, quality, sharding, simhash, suffix_dedup, urls
 from tessera.llm.oracles import ORACLES
@@ -17,7 +18,8 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(_table(spark, sf_dir, "pages"))
+    judged = urls.judge(_table(spark, sf_dir, "pages"))
+    return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Hosts with pages that a rule allows are trusted seeds, hosts with pages that a
 rule blocks are distrusted ones. Trust is a personalised PageRank along links;
 distrust runs along reversed links, so a host that links to bad hosts earns
-some. Edges are hyperlinks between hosts, and a host and its nearest parent
-domain that has pages. A host is blocked when its share of distrust reaches
+some. Edges are hyperlinks between hosts, and both ways between a domain and its
+parent domain of two labels or more, whether that has pages or not. A host is blocked when its share of distrust reaches
 the threshold.
 
 Defined results for odd input: a null url, or one without ``://``, has empty
@@ -73,9 +73,10 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     links = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?https?://([^/?#"'\s>]*)"""), F.lit(1)), lambda h: F.translate(h, _UPPER, _LOWER)))
     out = pages.where("html is not null and host <> ''").select(F.col("host").alias("src"), F.explode(links).alias("dst")).where("src <> dst and dst <> ''")
     labels = F.split("host", r"\.")
-    parents = hosts.where("host <> ''").select("host", F.posexplode(F.transform(F.when(F.size(labels) > 1, F.sequence(F.lit(2), F.size(labels))), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))).alias("level", "parent"))
-    nearest = parents.join(hosts.select(F.col("host").alias("parent")), "parent", "left_semi").groupBy("host").agg(F.min_by("parent", "level").alias("parent"))
-    up = nearest.select(F.col("host").alias("src"), F.col("parent").alias("dst"))
+    named = hosts.where(F.size(labels) > 2).where("not host rlike '^[0-9.]+$'")
+    level = F.explode(F.sequence(F.lit(1), F.size(labels) - 2)).alias("i")
+    suffix = lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels)))
+    up = named.select("host", level).select(suffix(F.col("i")).alias("src"), suffix(F.col("i") + 1).alias("dst")).distinct()
     return out.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
@@ -89,7 +90,7 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: fl
     walks = cut(edges.join(degree, "src"), f"{name}-walks")
     rank = seeds.select("host", F.col("weight").alias("score"))
     if walks.isEmpty():
-        return rank
+        return rank.withColumn("score", F.col("score") * (1 - damping))
     for _ in range(rounds):
         moved = walks.join(rank, walks.src == rank.host).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("flow"))
         restart = seeds.select("host", (F.col("weight") * (1 - damping)).alias("score"))
