@@ -28,6 +28,7 @@ from tessera.llm.shared import cut
 SHARDS = 24
 ROUNDS = 2
 LINE = 64
+HOT_SHARE = 1000
 
 
 def _case(column: Column, values: list[int]) -> Column:
@@ -46,15 +47,24 @@ def propagate(nodes: DataFrame, features: DataFrame, n_shards: int = SHARDS, rou
     big = extra * (base + 1)
     shard = F.when(F.col("rank") < big, F.floor(F.col("rank") / (base + 1))).otherwise(extra + F.floor((F.col("rank") - big) / max(base, 1))).cast("int")
     labels = cut(ranked.select("key", shard.alias("shard")), "sharding-labels")
-    common = features.groupBy("feature").agg(F.count("*").alias("n")).where("n > 1")
-    links = cut(features.join(common, "feature").select("key", "feature", (1 / F.col("n")).alias("weight")), "sharding-links")
+    common = cut(features.groupBy("feature").agg(F.count("*").alias("n")).where("n > 1"), "sharding-features")
+    # features in over a 1/HOT_SHARE of all places are fewer than HOT_SHARE, so they are broadcast; the others are dealt
+    total = common.agg(F.sum("n")).first()[0] or 0
+    hot = common.where(F.col("n") * HOT_SHARE > total)
+    weighed = features.join(F.broadcast(hot.withColumnRenamed("n", "hot_n")), "feature", "left")
+    links = weighed.where("hot_n is not null").select("key", "feature", (1 / F.col("hot_n")).alias("weight"), F.lit(True).alias("hot"))
+    dealt = weighed.where("hot_n is null").join(common, "feature").select("key", "feature", (1 / F.col("n")).alias("weight"), F.lit(False).alias("hot"))
+    links = cut(links.unionByName(dealt), "sharding-links")
     if links.isEmpty():
         return labels
     tied = cut(links.select("key").distinct(), "sharding-tied")
     for _ in range(rounds):
         seen = links.join(labels, "key").groupBy("feature", "shard").agg(F.count("*").alias("n"))
         named = seen.groupBy("feature").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("top")).select("feature", (-F.col("top.s")).alias("to"))
-        votes = links.join(named, "feature").groupBy("key", "to").agg(F.sum("weight").alias("votes"))
+        named = cut(named, "sharding-named")
+        near = F.broadcast(named.join(F.broadcast(hot), "feature", "left_semi"))
+        met = links.where("hot").join(near, "feature").unionByName(links.where("not hot").join(named, "feature"))
+        votes = met.groupBy("key", "to").agg(F.sum("weight").alias("votes"))
         voted = votes.join(labels, "key").groupBy("key", "shard").agg(F.max(F.struct("votes", (-F.col("to")).alias("s"))).alias("best"), F.coalesce(F.max(F.when(F.col("to") == F.col("shard"), F.col("votes"))), F.lit(0.0)).alias("stay"))
         wishes = voted.where("best.votes > stay").select("key", "shard", (-F.col("best.s")).alias("to"), (-F.round(F.col("best.votes") - F.col("stay"), 9)).alias("loss"))
         wishes = running_total(wishes, ["to", "loss", "key"], F.lit(1), "rank", "sharding-wishes")
