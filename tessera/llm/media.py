@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.packing import id_values, squeeze, text_bytes, unsqueeze
-from tessera.llm.shared import cut
+from tessera.llm.shared import PAUSE, cut, release
 
 UNIT = 64
 LEAST, MOST, MASK_BITS = 256, 8192, 10
@@ -110,7 +110,7 @@ def catalogue(docs: DataFrame) -> DataFrame:
 
 
 def range_of(key: bytes, parts: int) -> int:
-    return int.from_bytes(key[:6], "big") * parts >> 48
+    return int.from_bytes(key[:4], "big") * parts >> 32
 
 
 def packs(docs: DataFrame, parts: int) -> DataFrame:
@@ -145,7 +145,7 @@ def store(docs: DataFrame, listed: DataFrame, parts: int) -> DataFrame:
     chunks = distinct.select("key", F.posexplode("digests").alias("i", "digest"))
     owners = chunks.groupBy("digest").agg(F.min(F.struct("key", "i")).alias("owner"), F.count("*").alias("n")).where("n > 1")
     shared = chunks.join(owners, "digest").select("key", "i", F.when((F.col("owner.key") == F.col("key")) & (F.col("owner.i") == F.col("i")), LENT).otherwise(BORROWED).alias("state"))
-    part = F.shiftright(F.conv(F.hex(F.substr("key", F.lit(1), F.lit(6))), 16, 10).cast("long") * parts, 48).cast("int")
+    part = F.shiftright(F.conv(F.hex(F.substr("key", F.lit(1), F.lit(4))), 16, 10).cast("long") * parts, 32).cast("int")
     marks = shared.select(part.alias("part"), "key", "i", "state")
 
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -180,7 +180,9 @@ def store(docs: DataFrame, listed: DataFrame, parts: int) -> DataFrame:
             out.append(row | {"body": squeeze(b"".join(row["body"]), 6)})
         return pa.Table.from_pylist(out, _STORED_ARROW)
 
-    return packs(docs, parts).groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(keep, PACK)
+    # key ranges are of equal size: each is a task of its own, none shares one by the chance of a hash
+    left, right = (df.repartitionById(parts, "part").groupBy("part") for df in (packs(docs, parts), marks))
+    return left.cogroup(right).applyInArrow(keep, PACK)
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes], bytes, list[bytes | None]]]:
@@ -285,6 +287,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     listed = cut(catalogue(slim), "media-catalogue")
     total = listed.agg(F.sum("n_bytes")).first()[0] or 0
     stored = cut(store(slim, listed, max(1, -(-int(total) // PART_BYTES))), "media-store")
+    release(docs.sparkSession, PAUSE)
     direct, rebuilt = read_back(stored)
     values = described(direct.unionByName(rebuilt))
     return listed.select("doc_id", "n_bytes", "key").join(values, "key").drop("key")

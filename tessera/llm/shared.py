@@ -25,6 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.getCheckpointDir().get()
 
 
+#: Seconds before a collection that has to free a large shuffle.
+PAUSE = 1.0
+
+
 def release(spark: SparkSession, pause: float = 0.0) -> None:
     """Let Spark drop the shuffle files of finished jobs that nothing refers to any more.
 

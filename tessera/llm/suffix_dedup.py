@@ -37,14 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.packing import BYTE_CODES, Block, mix, pack_blocks, pack_ints, squeeze, unpack_ints, unsqueeze
-from tessera.llm.shared import cut, release
+from tessera.llm.shared import PAUSE, cut, release
 
 WINDOW, GRAM = 50, 32
 REACH = WINDOW - GRAM  # windows file at most this far before their gram
 WIDTH = 72  # gram, two length bytes, up to 18 bytes after and 18 before, padding to a multiple of 8
 BITS = 48
 PART_BYTES = 24 << 20
-PAUSE = 1.0
 _CODES32 = (BYTE_CODES >> np.uint64(32)).astype(np.uint32)
 _ORDER_SALT = np.uint32(0x9E3779B1)
 RUN = "bid long, part int, vals binary"
