@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.packing import IN_SPACED_WORD, LOWER, Block, mix, pack_blocks, pack_ints, squeeze, unpack_ints, unsqueeze, word_bounds, word_hashes
-from tessera.llm.shared import cut
+from tessera.llm.shared import PAUSE, cut, release
 
 FOLDS, HELD_OUT = 5, 1
 TOP_COUNT = 5
@@ -105,7 +105,7 @@ def merged(table: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray, np
     return bids, keys, distinct, place
 
 
-def count_answers(key: tuple, table: pa.Table) -> pa.Table:
+def count_answers(table: pa.Table) -> pa.Table:
     """Total count of each key, doubled, plus one where the block owns the key; and a row of counts of counts."""
     table = table.sort_by("bid")
     bids, keys, distinct, place = merged(table)
@@ -118,7 +118,7 @@ def count_answers(key: tuple, table: pa.Table) -> pa.Table:
     seen = total[total > 0]
     stats = np.append(np.bincount(np.minimum(seen, TOP_COUNT + 2), minlength=TOP_COUNT + 3), [seen.sum(), len(seen)])
     edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-    kind, part = key[0].as_py(), key[1].as_py()
+    kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
     vals = [pack_ints(answer[edges[i] : edges[i + 1]]) for i in range(len(bids))]
     return pa.table({"bid": [*bids, -1], "kind": [kind] * (len(bids) + 1), "part": [part] * (len(bids) + 1), "vals": [*vals, pack_ints(stats)]}, schema=_ANSWER_ARROW)
 
@@ -209,7 +209,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 rows = [*runs(block, WORD, t.words, [t.word_count], parts, bits), *runs(block, PAIR, t.pairs, [t.pair_count], parts, bits)]
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("bid", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())]))
 
-    counted = cut(blocks.mapInArrow(send_counts, RUN).groupBy("kind", "part").applyInArrow(count_answers, ANSWER), "katz-counts")
+    # key ranges are of equal size: each is a task of its own, none shares one by the chance of a hash
+    dealt = blocks.mapInArrow(send_counts, RUN).withColumn("range", F.col("kind") * parts + F.col("part")).repartitionById(2 * parts, "range")
+    counted = cut(dealt.groupBy("range").applyInArrow(count_answers, ANSWER), "katz-counts")
     stats = {WORD: np.zeros(TOP_COUNT + 5, np.int64), PAIR: np.zeros(TOP_COUNT + 5, np.int64)}
     for kind, vals in counted.where("bid = -1").select("kind", "vals").toLocalIterator():  # one short row per key range
         stats[kind] += unpack_ints(bytes(vals))
@@ -229,7 +231,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return pa.Table.from_pylist(rows, pa.schema([("bid", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())]))
 
     sums = blocks.groupBy("bid").cogroup(known.groupBy("bid")).applyInArrow(send_histories, RUN)
-    backoff = cut(sums.groupBy("part").applyInArrow(history_answers, ANSWER), "katz-backoff")
+    release(docs.sparkSession, PAUSE)
+    backoff = cut(sums.repartitionById(parts, "part").groupBy("part").applyInArrow(history_answers, ANSWER), "katz-backoff")
+    release(docs.sparkSession, PAUSE)
     train_tokens, types = one.total, one.types
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
