@@ -23,7 +23,10 @@ RECORD = (
 
 
 def read_tree(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
-    """repo, path, bytes, content and early reason of every file under root/<repo>/; content is read only where it is used."""
+    """repo, path, bytes, content and early reason of every file under root/<repo>/; content is read only where it is used.
+
+    Empty files are not there: Spark's reader passes over files without bytes.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     # the first two parts below the root: repository and path inside it
     inside = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").split("/")[-1] + "/", "")

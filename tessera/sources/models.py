@@ -86,7 +86,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.option("wholetext", True).text(path).first()["value"]
+    return spark.read.text(path, wholetext=True).first()["value"]
 
 
 def write_vocabularies(spark: SparkSession, path: str, merges: bytepairs.Merges, sizes: list[int]) -> None:

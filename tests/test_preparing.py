@@ -160,7 +160,7 @@ def test_tree_and_manifest_sources(spark, tmp_path):
         p.write_bytes(data)
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     tree = corpus.judged_tree(corpus.read_tree(spark, str(tmp_path / "repos"), [".go"]))
-    assert {(r.repo, r.path): r.reason for r in tree.collect()} == {("o__a", "main.go"): None, ("o__a", "vendor/x.go"): "excluded_dir", ("o__b", "empty.go"): "empty", ("o__b", "bin.go"): "binary"}
+    assert {(r.repo, r.path): r.reason for r in tree.collect()} == {("o__a", "main.go"): None, ("o__a", "vendor/x.go"): "excluded_dir", ("o__b", "bin.go"): "binary"}
     spark.conf.unset("spark.sql.legacy.javaCharsets")
     rows = spark.createDataFrame([("r", 'a "quoted" \\ path', 1, 2, 3, "lm", "ok"), ("r", "b", 1, 2, 3, "test", "dup_exact")], corpus.MANIFEST)
     corpus.write_manifest(rows, str(tmp_path / "manifest"))
