@@ -125,6 +125,6 @@ def read_fixture(spark: SparkSession, path: str, columns: list[str], separator:
 
 def read_markdown_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of a Markdown table; its header and rule are skipped."""
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = spark.read.text(path).where(F.col("value").rlike(r"^\s*\|") & ~F.col("value").rlike(r"^\s*\|[\s:|-]+\|?\s*$")).select(cells.alias("c"))
     return rows.where(F.col("c")[0].rlike("^[0-9]+$")).select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(columns)])
