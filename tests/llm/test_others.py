@@ -151,3 +151,30 @@ def test_empty_tables(no_docs):
     assert sharding.shards(no_docs).count() == 0 and sharding.with_shards(no_docs).count() == 0
     assert media.media_column(no_docs).count() == 0
     assert quality.quality(no_docs, no_docs.select("doc_id", F.lit(1).alias("quality"))).count() == 0
+
+
+def gathered(got, features):
+    """Rows that are in the shard that most rows of a feature are in."""
+    groups = defaultdict(Counter)
+    for k, f in features:
+        groups[f][got[k]] += 1
+    return sum(max(g.values()) for g in groups.values())
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_sharding_gathers_where_all_rows_are_linked(spark, common):
+    own = [(k, k % 60) for k in range(600)]
+    nodes = spark.range(600).select(F.col("id").alias("key"), F.xxhash64("id").alias("place"))
+    features = spark.createDataFrame(own + [(k, 1000) for k in range(600)] * common, "key long, feature long")
+    found = []
+    for rounds in (0, None):
+        got = {r.key: r.shard for r in sharding.propagate(nodes, features, 4, rounds).collect()}
+        assert set(Counter(got.values()).values()) == {150}
+        found.append(gathered(got, own))
+    assert found[1] > 1.8 * found[0]
+
+
+def test_exchange_takes_the_best_cycles():
+    arcs = {(0, 1): sharding.Arc([(2.0, 3), (0.5, 4)]), (1, 0): sharding.Arc([(1.0, 2)]), (1, 2): sharding.Arc([(-0.25, 5)]), (2, 0): sharding.Arc([(0.0, 100)])}
+    sharding.exchange(arcs, 3)
+    assert {k: a.total() for k, a in arcs.items()} == {(0, 1): 7, (1, 0): 2, (1, 2): 5, (2, 0): 5}
