@@ -24,7 +24,15 @@ EMAIL = rf"(?:(?<![{_L}])|\G)[{_L}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Length: countries of the IBAN registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}+" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+#: A listed country's length, or a run of capitals and digits up to where a listed IBAN begins, cut back by ``iban_part``.
+IBAN = rf"(?<![A-Za-z0-9])(?:{_LISTED}|[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]|\x20(?!{_LISTED})[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 
 THRESHOLD = 0.5
@@ -70,6 +78,14 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), add) == 1
 
 
+def iban_part(run: Column) -> Column:
+    """The longest valid IBAN that a run of words begins with, or the run itself."""
+    words = F.split(run, " ")
+    starts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.concat_ws(" ", F.slice(words, F.lit(1), k)))
+    good = F.filter(starts, lambda x: _valid("iban", x))
+    return F.coalesce(F.try_element_at(good, F.lit(-1)), run)
+
+
 def _valid(kind: str, m: Column) -> Column:
     n = F.length(digits(m))
     return {
@@ -112,6 +128,8 @@ def _placed(text: Column, kind: str) -> Column:
 
 def _scored(text: Column, kind: str, placed: Column) -> Column:
     base, confirmed, words, near = SCORES[kind]
+    if kind == "iban":
+        placed = F.transform(placed, lambda x: F.struct(iban_part(x["m"]).alias("m"), x["start"].alias("start")))
 
     def one(x: Column) -> Column:
         start = x["start"]

@@ -128,6 +128,20 @@ def test_pii_additions(small_docs):
     assert "GB82" not in row.text and "078-05" not in row.text
 
 
+def test_ibans_before_capitals_and_digits(spark):
+    texts = {
+        "DE89370400440532013000 Please": [(0, 22)], "DE89 3704 0044 0532 0130 00 BIC COBADEFF": [(0, 27)], "GB82WEST12345698765432 2024": [(0, 22)],
+        "GB82 WEST 1234 5698 7654 32 DE89370400440532013000 A": [(0, 27), (28, 50)], "DE89370400440532013000": [(0, 22)], "DE89370400440532013001 Please": [],
+        "DE89370400440532013000X": [], "XX12 ABCDEFGHIJK DE89370400440532013000 NO93 8601 1117 947 EUR 5": [(17, 39), (40, 58)],
+        "iban ZZ65123456789012 Please": [(5, 21)], "iban ZZ65123456789012 PAID 2024": [(5, 21)], "MT84 MALT 0110 0001 2345 MTLC AST0 01S OK": [(0, 38)],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.text: [(x.start, x.end) for x in r.iban] for r in pii.find_pii(df).collect()}
+    assert got == texts
+    red = [r.text for r in pii.redact(pii.find_pii(df)).collect()]
+    assert "█" * 22 + " Please" in red
+
+
 def test_quality(spark):
     import random
 
