@@ -61,14 +61,16 @@ def test_near_copies_to_the_threshold_are_found(spark):
     assert kept(corpus_pipeline.drop_near_copies(spark, df, "")) == survivors(docs)
 
 
-def test_buckets_are_peeled_without_losing_links(spark, monkeypatch):
+def test_wide_buckets_and_small_tiles_lose_no_links(spark, monkeypatch):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]
     docs = [(i, " ".join(edited(rng, base, 0.03))) for i in range(40)] + [(100 + i, " ".join(base[: 60 + i])) for i in range(0, 60, 3)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     want = survivors(docs)
     assert kept(nearcopies.keep_one(df)) == want
-    monkeypatch.setattr(nearcopies, "PAIRS_A_ROW", 0)
+    monkeypatch.setattr(nearcopies, "TILE_BYTES", 6_000)
+    assert kept(nearcopies.keep_one(df)) == want
+    monkeypatch.setattr(nearcopies, "WIDE", 3)
     assert kept(nearcopies.keep_one(df)) == want
 
 
