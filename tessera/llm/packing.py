@@ -226,3 +226,21 @@ def word_bounds(body: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[n
     begins[edges] |= ok[edges]
     stops[edges - 1] |= ok[edges - 1]
     return np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+
+def bounds_in_pieces(body: np.ndarray, inside: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``word_bounds`` of one text, about ``limit`` bytes at a time; a run over a cut comes whole, with the piece that it ends in."""
+    open_ = -1
+    for lo in range(0, len(body), limit):
+        ok = inside[body[lo : lo + limit]]
+        step = np.diff(ok.astype(np.int8), prepend=np.int8(open_ >= 0))
+        start, end = lo + np.flatnonzero(step == 1), lo + np.flatnonzero(step == -1)
+        if open_ >= 0:
+            start = np.concatenate([[open_], start])
+        open_ = int(start[-1]) if ok[-1] else -1
+        if open_ >= 0:
+            start = start[:-1]
+        if len(start):
+            yield start, end
+    if open_ >= 0:
+        yield np.array([open_]), np.array([len(body)])

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,11 @@ def test_quality(spark):
     held = [i for i in truth if got[i].held_out]
     assert sum(got[i].predicted == truth[i] for i in held) > 0.97 * len(held)
     assert quality.keep_good(docs, labels).columns == docs.columns
+    every = spark.createDataFrame(list(truth.items()), "doc_id long, quality int")  # all texts are labelled
+    got = {r.doc_id: r for r in quality.quality(docs, every).collect()}
+    assert sum(got[i].predicted == truth[i] for i in held) > 0.97 * len(held)
+    copies = docs.unionByName(docs.where("doc_id = 1").crossJoin(spark.range(20_000)).drop("id"))  # one id that many rows have
+    assert {(r.doc_id, r.score) for r in quality.quality(copies, every).collect()} == {(i, r.score) for i, r in got.items()}
     assert {r.score for r in quality.quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
@@ -192,3 +198,32 @@ def test_exchange_takes_the_best_cycles():
     arcs = {(0, 1): sharding.Arc([(2.0, 3), (0.5, 4)]), (1, 0): sharding.Arc([(1.0, 2)]), (1, 2): sharding.Arc([(-0.25, 5)]), (2, 0): sharding.Arc([(0.0, 100)])}
     sharding.exchange(arcs, 3)
     assert {k: a.total() for k, a in arcs.items()} == {(0, 1): 7, (1, 0): 2, (1, 2): 5, (2, 0): 5}
+
+
+def test_long_texts_have_the_same_features():
+    texts = [b"", b"word", b"One line, two words\n\nand a long one " + b"z" * 900 + b"\n a b a c\n" * 60, "é ß\n日本".encode() * 80, b"\n" * 300, b"no break " * 200]
+    for t in texts:
+        body = np.frombuffer(t, np.uint8)
+        whole = quality.features(body, np.array([0, len(t)]))
+        for limit in (1, 7, 64, 10_000):
+            assert quality.long_features(body, limit) == pytest.approx(whole, abs=1e-6)
+
+
+def risk(model_weight, bias, p, u, prior):
+    """The non-negative risk, written out."""
+    loss = lambda g: 1 / (1 + np.exp(g))
+    gp, gu = p @ model_weight + bias, u @ model_weight + bias
+    return prior * loss(gp).mean() + max(0.0, loss(-gu).mean() - prior * loss(-gp).mean())
+
+
+def test_fit_minimises_the_nonnegative_risk():
+    rng = np.random.default_rng(4)
+    p, mixed = rng.normal(1, 1, (400, 6)), np.concatenate([rng.normal(1, 1, (280, 6)), rng.normal(-1, 1, (120, 6))])
+    prior = quality.class_prior(p, mixed)
+    assert prior == pytest.approx(0.7, abs=0.08)
+    m = quality.fit(p, mixed, 0.7)
+    scaled = lambda x: np.clip((x - m.mean) / m.scale, -6, 6)
+    least = risk(m.weight, m.bias, scaled(p), scaled(mixed), 0.7)
+    assert least < 0.1
+    for _ in range(50):
+        assert risk(m.weight + rng.normal(0, 0.3, 6), m.bias + rng.normal(0, 0.3), scaled(p), scaled(mixed), 0.7) > least - 0.01
