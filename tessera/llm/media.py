@@ -5,8 +5,8 @@ then the payload). It is cut where a gear rolling hash of its last 32 bytes has
 its upper bits zero, so equal passages give equal chunks wherever they stand.
 Chunk digests are deduplicated by Spark joins: the first payload with a chunk
 owns its bytes, others refer to it. The store holds owned bytes only; reading
-back joins references with shared chunks, concatenates each ordered chunk list
-and verifies the payload's digest before features are computed.
+back joins references with shared chunks, puts the stored header before each
+ordered chunk list and verifies header and digest before features are computed.
 
 Payloads travel to the store in compressed packs, one per map batch and key
 range, keyed by the payload's digest, so equal texts are stored once and rows
@@ -14,7 +14,9 @@ never meet by id.
 
 Defined results for odd input: a null text counts as empty and its payload is
 64 zero bytes; equal texts have equal values whatever their ids; null or
-repeated ids are carried along; an empty table gives an empty result; other
+repeated ids are carried along; of equal chunks the one in the least payload
+digest, and first place in it, is the owner; a very long text is one payload,
+held whole by the task that cuts it; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -44,9 +46,13 @@ def payload_of(text: bytes) -> bytes:
     return text + bytes(-len(text) % UNIT if text else UNIT)
 
 
-def wave(payload: bytes) -> bytes:
+HEAD_BYTES = 44
+
+
+def head_of(payload: bytes) -> bytes:
+    """The header that makes a RIFF/WAVE form of 8-bit mono samples."""
     n = len(payload)
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", n) + payload
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", n)
 
 
 def samples_of(form: bytes) -> bytes:
@@ -130,8 +136,8 @@ def packs(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(rows, "part int, n int, lens binary, body binary")
 
 
-_STORED_ARROW = pa.schema([("part", pa.int32()), ("keys", pa.list_(pa.binary())), ("digests", pa.list_(pa.list_(pa.binary()))), ("sizes", pa.list_(pa.list_(pa.int32()))), ("state", pa.list_(pa.binary())), ("body", pa.binary())])
-PACK = "part int, keys array<binary>, digests array<array<binary>>, sizes array<array<int>>, state array<binary>, body binary"
+_STORED_ARROW = pa.schema([("part", pa.int32()), ("keys", pa.list_(pa.binary())), ("digests", pa.list_(pa.list_(pa.binary()))), ("sizes", pa.list_(pa.list_(pa.int32()))), ("state", pa.list_(pa.binary())), ("heads", pa.binary()), ("body", pa.binary())])
+PACK = "part int, keys array<binary>, digests array<array<binary>>, sizes array<array<int>>, state array<binary>, heads binary, body binary"
 GROUP_BYTES = 8 << 20
 OWNED, LENT, BORROWED = 0, 1, 2
 
@@ -153,7 +159,8 @@ def store(docs: DataFrame, listed: DataFrame, parts: int) -> DataFrame:
         for k, i, s in zip(right.column("key").to_pylist(), right.column("i").to_pylist(), right.column("state").to_pylist(), strict=True):
             state.setdefault(k, {})[i] = s
         done, out = set(), []
-        new = lambda: {"part": None, "keys": [], "digests": [], "sizes": [], "state": [], "body": []}
+        new = lambda: {"part": None, "keys": [], "digests": [], "sizes": [], "state": [], "heads": [], "body": []}
+        packed = lambda row: row | {"heads": squeeze(b"".join(row["heads"]), 6), "body": squeeze(b"".join(row["body"]), 6)}
         row, held = new(), 0
         for part_, n, lens, body in zip(*(left.column(c).to_pylist() for c in ("part", "n", "lens", "body")), strict=True):
             raw, at = unsqueeze(body), 0
@@ -170,14 +177,15 @@ def store(docs: DataFrame, listed: DataFrame, parts: int) -> DataFrame:
                 row["digests"].append([digest16(p) if m else b"" for p, m in zip(pieces, marks_, strict=True)])
                 row["sizes"].append([len(p) for p in pieces])
                 row["state"].append(bytes(marks_))
+                row["heads"].append(head_of(payload))
                 row["body"].extend(p for p, m in zip(pieces, marks_, strict=True) if m != BORROWED)
                 held += size
                 if held >= GROUP_BYTES:
-                    out.append(row | {"part": part_, "body": squeeze(b"".join(row["body"]), 6)})
+                    out.append(packed(row) | {"part": part_})
                     row, held = new(), 0
             row["part"] = part_
         if row["keys"]:
-            out.append(row | {"body": squeeze(b"".join(row["body"]), 6)})
+            out.append(packed(row))
         return pa.Table.from_pylist(out, _STORED_ARROW)
 
     # key ranges are of equal size: each is a task of its own, none shares one by the chance of a hash
@@ -185,12 +193,12 @@ def store(docs: DataFrame, listed: DataFrame, parts: int) -> DataFrame:
     return left.cogroup(right).applyInArrow(keep, PACK)
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes], bytes, list[bytes | None]]]:
-    """key, digests, state and the pieces at hand (None: borrowed) of every stored payload."""
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes], bytes, bytes, list[bytes | None]]]:
+    """key, digests, state, header and the pieces at hand (None: borrowed) of every stored form."""
     for batch in batches:
-        for keys, digests, sizes, states, body in zip(*(batch.column(c).to_pylist() for c in ("keys", "digests", "sizes", "state", "body")), strict=True):
-            raw, at = unsqueeze(body), 0
-            for key, own, size, state in zip(keys, digests, sizes, states, strict=True):
+        for keys, digests, sizes, states, heads, body in zip(*(batch.column(c).to_pylist() for c in ("keys", "digests", "sizes", "state", "heads", "body")), strict=True):
+            raw, at, heads = unsqueeze(body), 0, unsqueeze(heads)
+            for k, (key, own, size, state) in enumerate(zip(keys, digests, sizes, states, strict=True)):
                 pieces: list[bytes | None] = []
                 for n, s in zip(size, state, strict=True):
                     if s == BORROWED:
@@ -198,31 +206,32 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[byt
                     else:
                         pieces.append(raw[at : at + n])
                         at += n
-                yield key, own, state, pieces
+                yield key, own, state, heads[k * HEAD_BYTES : (k + 1) * HEAD_BYTES], pieces
 
 
 def read_back(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, payload) of payloads that own all their chunks, and of those put together from others' chunks."""
+    """(key, form) of stored forms that own all their chunks, and of those put together from others' chunks."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, bodies = [], []
-            for key, _, state, pieces in _opened(iter([batch])):
+            for key, _, state, head, pieces in _opened(iter([batch])):
                 if BORROWED not in state:
                     keys.append(key)
-                    bodies.append(b"".join(pieces))
+                    bodies.append(head + b"".join(pieces))
                 if len(keys) >= 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], names=["key", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], names=["key", "form"])
                     keys, bodies = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], names=["key", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], names=["key", "form"])
 
     def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "i", "digest", "bytes"]
         types = (pa.binary(), pa.int32(), pa.binary(), pa.binary())
         for batch in batches:
             rows: list[tuple] = []
-            for key, digests, state, pieces in _opened(iter([batch])):
+            for key, digests, state, head, pieces in _opened(iter([batch])):
                 if BORROWED in state:
+                    rows.append((key, -1, None, head))
                     rows.extend((key, i, digests[i] if pieces[i] is None else None, pieces[i]) for i in range(len(pieces)))
                 if len(rows) >= 4000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -233,14 +242,14 @@ def read_back(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     def lent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, pieces = [], []
-            for _, own, state, got in _opened(iter([batch])):
+            for _, own, state, _, got in _opened(iter([batch])):
                 for i, s in enumerate(state):
                     if s == LENT:
                         digests.append(own[i])
                         pieces.append(got[i])
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(pieces, pa.binary())], names=["digest", "lent"])
 
-    direct = stored.mapInArrow(whole, "key binary, payload binary")
+    direct = stored.mapInArrow(whole, "key binary, form binary")
     listed = stored.mapInArrow(parts_of, "key binary, i int, digest binary, bytes binary")
     chunks = stored.mapInArrow(lent, "digest binary, lent binary")
     filled = listed.where("digest is not null").join(chunks, "digest").select("key", "i", F.col("lent").alias("bytes"))
@@ -248,9 +257,9 @@ def read_back(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def joined(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("i")
-        return pa.table({"key": [key[0].as_py()], "payload": [b"".join(table.column("bytes").to_pylist())]}, schema=pa.schema([("key", pa.binary()), ("payload", pa.binary())]))
+        return pa.table({"key": [key[0].as_py()], "form": [b"".join(table.column("bytes").to_pylist())]}, schema=pa.schema([("key", pa.binary()), ("form", pa.binary())]))
 
-    rebuilt = every.groupBy("key").applyInArrow(joined, "key binary, payload binary")
+    rebuilt = every.groupBy("key").applyInArrow(joined, "key binary, form binary")
     return direct, rebuilt
 
 
@@ -261,24 +270,23 @@ def feature_of(payload: bytes) -> str:
     return f"n={len(x)};mean={int(x.sum()) * 1000 // len(x)};energy={int((x * x).sum()) // len(x)};crossings={int((up[1:] != up[:-1]).sum())}"
 
 
-def described(payloads: DataFrame) -> DataFrame:
-    """Verified digests and features of (key, payload)."""
+def described(forms: DataFrame) -> DataFrame:
+    """Verified digests and features of (key, form) as read back."""
     names = ["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for key, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if digest16(payload) != key:
-                    raise ValueError("a stored payload does not match its digest")
-                form = wave(payload)
+            for key, form in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 back = samples_of(form)
+                if digest16(back) != key:
+                    raise ValueError("a stored payload does not match its digest")
                 out.append((key, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), feature_of(back)))
             if out:
                 types = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return payloads.mapInArrow(rows, "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return forms.mapInArrow(rows, "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
