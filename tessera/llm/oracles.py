@@ -8,7 +8,7 @@ patterns with look-around (op8) and fitted models (op10, the pipeline).
 
 from __future__ import annotations
 
-from tessera.llm.mixing import CEILING, SHARE, WEIGHTS
+from tessera.llm.mixing import CEILING, PACKET, SHARE, WEIGHTS
 from tessera.llm.urls import DAMPING, ROUNDS, RULES, THRESHOLD
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -56,13 +56,18 @@ OP2 = f"""WITH located AS MATERIALIZED (SELECT page_id, html, {_LOW.format("coal
     scores AS (SELECT host, coalesce(t.score, 0) AS trust, coalesce(d.score, 0) AS distrust FROM hosts LEFT JOIN trusted t USING (host) LEFT JOIN distrusted d USING (host))
     SELECT page_id, host, path, hit.name AS rule, CASE WHEN coalesce(NOT hit.allow, distrust > 0 AND distrust >= {THRESHOLD}::DOUBLE * (trust + distrust)) THEN 'block' ELSE 'allow' END AS verdict, round(trust, 9) AS trust, round(distrust, 9) AS distrust FROM ruled JOIN scores USING (host)"""
 
-OP6 = rf"""WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, CAST('0x' || substr(md5(doc_id || '|0'), 1, 15) AS BIGINT) AS shuffled FROM documents),
+OP6 = rf"""WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, CAST('0x' || substr(md5(doc_id || '|0|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS drawn FROM documents),
     per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sizes GROUP BY source),
     weighed AS (SELECT *, [{', '.join(f'{w}::DOUBLE' for w in WEIGHTS)}][(rank - 1) % {len(WEIGHTS)} + 1] AS weight, {CEILING}::DOUBLE * source_size AS cap FROM per),
     levels AS (SELECT *, cap / weight AS ratio, ({SHARE}::DOUBLE * (SELECT sum(source_size) FROM per) - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
     target AS (SELECT source, rank, source_size, CASE WHEN ratio < coalesce(f.level, 'inf'::DOUBLE) THEN cap ELSE f.level * weight END AS target FROM levels, (SELECT arg_min(level, (ratio, rank)) AS level FROM levels WHERE ratio >= level) f),
-    queued AS (SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY shuffled, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM sizes JOIN target ON sizes.source IS NOT DISTINCT FROM target.source)
-    SELECT doc_id, size, source_size, target, greatest(0, least(size, round(target)::BIGINT - before)) + greatest(0, least(size, round(target)::BIGINT - before - source_size)) AS taken, CASE WHEN target > 0 THEN (before + size) / target END AS finish FROM queued"""
+    queued AS (SELECT doc_id, size, rank, drawn, source_size, target, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY drawn, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM sizes JOIN target ON sizes.source IS NOT DISTINCT FROM target.source),
+    laps AS (SELECT *, before + lap * source_size AS start FROM (SELECT *, unnest([0, 1]) AS lap FROM queued WHERE size > 0)),
+    packets AS (SELECT *, start + packet * {PACKET} AS opens, least({PACKET}, size - packet * {PACKET}) AS words FROM (SELECT *, unnest(range((size - 1) // {PACKET} + 1)) AS packet FROM laps WHERE start < target)),
+    finished AS (SELECT *, (opens + words) / target AS finish FROM packets WHERE opens < target),
+    spent AS (SELECT *, coalesce(sum(words) OVER (ORDER BY finish, rank, lap, drawn, packet, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM finished),
+    got AS (SELECT doc_id, sum(least(words, budget - spent))::BIGINT AS taken, max(finish) AS finish FROM spent, (SELECT trunc({SHARE}::DOUBLE * sum(source_size))::BIGINT AS budget FROM per) WHERE spent < budget GROUP BY doc_id)
+    SELECT q.doc_id, size, source_size, target, coalesce(taken, 0) AS taken, finish FROM queued q LEFT JOIN got USING (doc_id)"""
 
 OP9 = r"""WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
     items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),

@@ -1,6 +1,9 @@
 import hashlib
+import heapq
+import wave
 import zlib
 from collections import Counter, defaultdict
+from io import BytesIO
 
 import brute
 import numpy as np
@@ -27,26 +30,70 @@ def targets(sizes, weights=(3, 1, 2)):
     return out
 
 
+def fair_queue(rows, packet=512):
+    """Words taken of each row and lap, by heads of queues in a heap; rows: (id, text, source)."""
+    size = lambda t: len(brute.SPACED.findall(t or ""))
+    per, queues = defaultdict(int), defaultdict(list)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for k, (i, text, source) in enumerate(rows):
+        per[source] += size(text)
+        drawn = int(md5(f"{'' if i is None else i}|0|{md5(text or '')}")[:15], 16)
+        queues[source].append((drawn, k, size(text)))
+    target, heap, out = targets(per), [], Counter()
+    order = sorted(per, key=lambda s: (s is None, (s or "").encode()))
+
+    def packets(source):
+        done = 0
+        for lap in (0, 1):
+            for drawn, k, n in sorted(queues[source]):
+                for p in range(0, n, packet):
+                    words = min(packet, n - p)
+                    done += words
+                    yield done / target[source], lap, drawn, p, k, words
+
+    live = {s: packets(s) for s in order}
+    for rank, s in enumerate(order):
+        if (head := next(live[s], None)) is not None:
+            heapq.heappush(heap, (head[0], rank, head[1:]))
+    left = int(1.5 * sum(per.values()))
+    while heap and left:
+        _, rank, (lap, _, _, k, words) = heapq.heappop(heap)
+        out[k, lap] += min(words, left)
+        left -= min(words, left)
+        if (head := next(live[order[rank]], None)) is not None:
+            heapq.heappush(heap, (head[0], rank, head[1:]))
+    return out, per, target
+
+
 def test_mixing(small_docs, small_rows):
     got = mixing.taken(small_docs).collect()
+    rows = [(r[0], r[1], r[3]) for r in small_rows]
     size = lambda t: len(brute.SPACED.findall(t or ""))
-    per = defaultdict(int)
-    for r in small_rows:
-        per[r[3]] += size(r[1])
-    want = targets(per)
-    assert len(got) == len(small_rows)
-    assert Counter(r.size for r in got) == Counter(size(r[1]) for r in small_rows)
+    copies, per, want = fair_queue(rows)
+    by_row = Counter()
+    for (k, _), n in copies.items():
+        by_row[k] += n
+    told = lambda i, t, s, n: (i is None, i or 0, size(t) if t is not None else 0, per[s], n)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.size, r.source_size, r.taken) for r in got) == sorted(told(i, t, s, by_row[k]) for k, (i, t, s) in enumerate(rows))
     assert all(0 <= r.taken <= 2 * r.size for r in got)
     by_target = defaultdict(int)
     for r in got:
         by_target[r.source_size, round(r.target, 6)] += r.taken
-    assert {k[1]: v for k, v in by_target.items()} == {round(t, 6): pytest.approx(t, abs=1) for t in want.values()}
+    assert {k[1]: v for k, v in by_target.items()} == {round(t, 6): pytest.approx(t, abs=mixing.PACKET) for t in want.values()}
     assert sorted(map(tuple, mixing.taken(small_docs.repartition(3)).collect()), key=str) == sorted(map(tuple, got), key=str)
-    mixed = mixing.mix(small_docs)
-    assert mixed.columns[: len(small_docs.columns)] == small_docs.columns
-    finish = [r.wfq_finish for r in mixed.collect()]
-    assert finish == sorted(finish)
-    assert max(Counter(r.doc_id for r in mixed.where("doc_id > 30").collect()).values()) <= 6
+    clash = small_docs.withColumnsRenamed({"value": "wfq_key", "key": "wfq_lap"})
+    mixed = mixing.mix(clash)
+    assert mixed.columns == [*clash.columns, "_wfq_lap", "wfq_finish"]
+    out = mixed.collect()
+    assert {r.wfq_key for r in out} <= {"v", None} and [r.wfq_finish for r in out] == sorted(r.wfq_finish for r in out)
+    whole = Counter(rows[k][0] for (k, _), n in copies.items() if 2 * n > size(rows[k][1]))
+    assert Counter(r.doc_id for r in out) == whole
+
+
+def test_mixing_of_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, "same text of five words", "a")] * 300 + [(None, f"w{i} " * (i % 7), "b") for i in range(200)], "doc_id long, text string, source string").repartition(4)
+    got = mixing.taken(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("n")).collect()
+    assert len(got) == 2 and all(abs(r.n - r.target) <= mixing.PACKET for r in got)
 
 
 def test_sharding(small_docs, small_rows):
@@ -76,6 +123,16 @@ def test_sharding_gathers_linked_rows(spark):
     assert cuts[1] < cuts[0] / 3
 
 
+def stored_form(payload):
+    out = BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(1)
+        f.setframerate(8000)
+        f.writeframes(payload)
+    return out.getvalue()
+
+
 def test_media(small_docs, small_rows):
     got = {}
     for r in media.media_column(small_docs).collect():
@@ -84,11 +141,13 @@ def test_media(small_docs, small_rows):
     for r in small_rows:
         text = (r[1] or "").encode()
         payload = text + bytes(-len(text) % 64 if text else 64)
+        form, x = stored_form(payload), [b - 128 for b in payload]
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))
+        feature = f"n={len(x)};mean={sum(x) * 1000 // len(x)};energy={sum(v * v for v in x) // len(x)};crossings={crossings}"
         assert any(
-            (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-            and (x.media_bytes, x.media_sha256) == (len(payload) + 44, hashlib.sha256(media.wave(payload)).hexdigest())
-            and x.feature == media.feature_of(payload)
-            for x in got[r[0]]
+            (y.n_bytes, y.payload_bytes, y.payload_sha256, y.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+            and (y.media_bytes, y.media_sha256, y.feature) == (len(form), hashlib.sha256(form).hexdigest(), feature)
+            for y in got[r[0]]
         )
 
 
