@@ -46,6 +46,26 @@ def test_decontamination(small_docs, small_benchmark, pairs):
     same(decontaminate.digest(decontaminate.contamination(small_docs, small_benchmark, pass_bytes=150)), expected)
 
 
+def test_decontamination_in_pieces(spark, small_docs, pairs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 200)
+    long = " ".join(t for _, t in pairs[:40] if t and len(t) < 900)
+    items = [(1, "One two three four five six seven eight nine ten eleven twelve."), (2, "short item"), (5, long), (6, "x" * 500 + " tiny"), (7, pairs[3][1]), (7, pairs[3][1])]
+    docs = [*pairs, (900, long + " " + long), (901, long.upper()), (902, "x" * 500 + " tiny"), (903, "A " + pairs[3][1] + "\n" + pairs[3][1])]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    expected = brute.op9(docs, items)
+    for pass_bytes in (1 << 20, 700):
+        found = decontaminate.contamination(df, bench, pass_bytes=pass_bytes)
+        same(decontaminate.digest(found), expected)
+        clean = decontaminate.drop_contaminated(df, bench, pass_bytes=pass_bytes)
+        assert sorted(map(str, (r.doc_id for r in clean.collect()))) == sorted(str(r[0]) for r in expected if not r[-1])
+    text = dict(docs)
+    for r in found.where("doc_id >= 900").collect():
+        for x in r.spans:
+            own = text[r.doc_id].encode()
+            assert len(brute.PLAIN.findall(brute.lower(own[x.byte_start : x.byte_end].decode()))) == x.word_end - x.word_start
+            assert len(brute.PLAIN.findall(brute.lower(own[: x.byte_start].decode()))) == x.word_start
+
+
 def test_katz(small_docs, pairs):
     expected, p, one, after = brute.katz(pairs)
     got = katz.score(small_docs).drop("perplexity").collect()

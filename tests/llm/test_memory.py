@@ -14,7 +14,7 @@ ROOT = Path(__file__).parents[2]
 
 def grown(code):
     """MB by which ``code`` raises the peak memory of a process that holds the text."""
-    lines = ["import resource, numpy as np", "from tessera.llm import simhash, nearcopies", "peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10", code]
+    lines = ["import resource, numpy as np", "from tessera.llm import decontaminate, nearcopies, quality, simhash", "import pyarrow as pa", "peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10", code]
     return int(subprocess.run([sys.executable, "-c", "\n".join(lines)], cwd=ROOT, capture_output=True, text=True, check=True, timeout=600).stdout)
 
 
@@ -32,3 +32,13 @@ def test_pieces_give_the_same_hashes(words):
     gather = lambda limit: {i: sorted(np.concatenate([h[b[k] : b[k + 1]] for lo, h, b in simhash.shingle_hashes(body, at, words, limit) for k in range(len(b) - 1) if lo + k == i] or [[]])) for i in range(len(texts))}
     assert gather(64) == gather(1 << 20)
     assert [i for i, _ in nearcopies.shingle_sets(body, at, words)] == list(range(len(texts)))
+
+
+def test_one_pass_of_a_benchmark():
+    items = "t = pa.table({'i': [str(k) for k in range(4000)], 't': [' '.join(f'w{x}' for x in row) for row in np.random.default_rng(1).integers(0, 50021, (4000, 165)).tolist()]})"
+    assert grown(f"{items}\nassert 3 << 20 < t.nbytes < 5 << 20\nbefore = peak(); b = decontaminate.Benchmark(t, 10); assert len(b.patterns) > 550_000; print(peak() - before)") < 250
+
+
+def test_features_of_a_long_text():
+    text = "body = np.frombuffer(b'Some words, and a line of them\\n' * (1 << 20), np.uint8)"
+    assert grown(f"{text}\nbefore = peak(); quality.long_features(body); print(peak() - before)") < 150
