@@ -12,9 +12,11 @@ raises the votes that rows have for their own shards, so that ends.
 
 Defined results for odd input: a null text counts as empty, with size 8 and
 checksum 0; all empty texts are equal texts; null and repeated ids are sharded
-row by row; fewer rows than shards leave the last shards empty; an empty table
-gives an empty result; other columns are ignored by ``shards`` and kept by
-``with_shards``.
+row by row; ties (equal texts in the first cut, shards with equally many rows of
+a feature, wishes of equal gain) fall by text hash and id, for equal ones by row;
+a text of any length counts whole; fewer rows than shards leave the last shards
+empty; an empty table gives an empty result; other columns are ignored by
+``shards`` and kept by ``with_shards``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.running import running_total
-from tessera.llm.shared import cut, discard
+from tessera.llm.shared import cut, discard, fresh
 
 SHARDS = 24
 ROUNDS = None
@@ -191,28 +193,34 @@ def _prepared(docs: DataFrame, text_col: str) -> tuple[Column, Column, Column]:
 
 
 def _placed(base: DataFrame, n_shards: int, rounds: int | None) -> DataFrame:
-    """``base`` (key, place, features, ...) with shard and slot."""
-    features = base.select("key", F.explode("features").alias("feature"))
-    labels = propagate(base, features, n_shards, rounds)
-    slim = base.drop("features").join(labels, "key")
-    ordered = running_total(slim, ["shard", "place", "key"], F.lit(1), "rank", "sharding-slots")
+    """``base`` (row, doc_id, place, features, ...) with shard and slot.
+
+    The rank by text hash, id and then row is the key of a row from here on, so
+    that ties fall alike however the table is split.
+    """
+    keyed = cut(running_total(base, ["place", "doc_id", "row"], F.lit(1), "key", "sharding-keys"), "sharding-keyed")
+    features = keyed.select("key", F.explode("features").alias("feature"))
+    labels = propagate(keyed, features, n_shards, rounds)
+    slim = keyed.drop("features").join(labels, "key")
+    ordered = running_total(slim, ["shard", "key"], F.lit(1), "rank", "sharding-slots")
     counts = dict(labels.groupBy("shard").count().collect())  # one row per shard
     first = [0, *accumulate(counts.get(s, 0) for s in range(n_shards))][:n_shards]
-    return ordered.withColumn("slot", (F.col("rank") - _case(F.col("shard"), first)).cast("long")).drop("rank", "place")
+    return ordered.withColumn("slot", (F.col("rank") - _case(F.col("shard"), first)).cast("long"))
 
 
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = SHARDS, rounds: int | None = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard per row of ``docs``."""
     text, place, features = _prepared(docs, text_col)
-    base = cut(docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), place.alias("place"), features.alias("features")), "sharding-base")
+    base = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), place.alias("place"), features.alias("features")), "sharding-base")
     placed = _placed(base, n_shards, rounds)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def with_shards(docs: DataFrame, text_col: str = "text", n_shards: int = SHARDS, rounds: int | None = ROUNDS) -> DataFrame:
-    """``docs`` with its own columns, then shard and slot."""
+def with_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = SHARDS, rounds: int | None = ROUNDS) -> DataFrame:
+    """``docs`` with its own columns, then shard and slot (with underscores before them if ``docs`` has such)."""
     _, place, features = _prepared(docs, text_col)
-    kept = cut(docs.withColumn("blp_key", F.monotonically_increasing_id()), "sharding-documents")
-    base = cut(kept.select(F.col("blp_key").alias("key"), place.alias("place"), features.alias("features")), "sharding-base")
-    placed = _placed(base, n_shards, rounds).select(F.col("key").alias("blp_key"), "shard", "slot")
-    return kept.drop("shard", "slot").join(placed, "blp_key").drop("blp_key")
+    row, shard, slot = (fresh(c, docs) for c in ("blp_row", "shard", "slot"))
+    kept = cut(docs.withColumn(row, F.monotonically_increasing_id()), "sharding-documents")
+    base = cut(kept.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), place.alias("place"), features.alias("features")), "sharding-base")
+    placed = _placed(base, n_shards, rounds).select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    return kept.join(placed, row).drop(row)

@@ -104,7 +104,10 @@ def test_sharding(small_docs, small_rows):
     for s in count:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(count[s]))
     assert sorted((r.doc_id is None, r.doc_id or 0, r.size, r.text_crc32) for r in got) == sorted((r[0] is None, r[0] or 0, len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in small_rows)
-    assert sharding.with_shards(small_docs, n_shards=5).columns == [c for c in small_docs.columns if c != "shard"] + ["shard", "slot"]
+    same = sharding.with_shards(small_docs.repartition(2).withColumnRenamed("value", "slot"), n_shards=5)
+    assert same.columns == [*small_docs.columns[:7], "slot", *small_docs.columns[8:], "_shard", "_slot"]
+    # neither the split of the table nor clashing columns change the shards
+    assert sorted((r.doc_id is None, r.doc_id or 0, r._shard) for r in same.collect()) == sorted((r.doc_id is None, r.doc_id or 0, r.shard) for r in got)
     few = sharding.shards(small_docs.limit(3)).collect()
     assert len(few) == 3 and max(Counter(r.shard for r in few).values()) == 1
 
