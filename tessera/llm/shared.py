@@ -42,6 +42,22 @@ def release(spark: SparkSession, pause: float = 0.0) -> None:
         spark._jvm.System.gc()
 
 
+#: Tables written by ``cut`` since the last ``collected()``, by path; None while nobody asks.
+_written: list[str] | None = None
+
+
+def collected() -> list[str]:
+    """Paths that ``cut`` has written since the last call, from the first call on."""
+    global _written
+    out, _written = _written or [], []
+    return out
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of it.
 
@@ -53,6 +69,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     release(spark)
     df.write.option("compression", "zstd").parquet(path)
+    if _written is not None:
+        _written.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -60,8 +78,7 @@ def discard(df: DataFrame) -> None:
     """Delete the tables that ``cut`` wrote and ``df`` scans; nothing may read them any more."""
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
 
 
 def fresh(name: str, df: DataFrame) -> str:

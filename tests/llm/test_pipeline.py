@@ -108,6 +108,6 @@ def test_run(spark, tmp_path, small_docs, small_benchmark, small_rows, monkeypat
     assert mixed == Counter(clean[k][0] for (k, _), n in copies.items() if 2 * n > len(brute.SPACED.findall(clean[k][1] or "")))
     out = got.collect()
     assert Counter(r.doc_id for r in out) == mixed
-    count = Counter(r.shard for r in out)
+    count = Counter(r._shard for r in out)  # the documents have a shard column of their own
     assert max(count.values()) - min(count.values()) <= 1
-    assert all(sorted(r.slot for r in out if r.shard == s) == list(range(count[s])) for s in count)
+    assert all(sorted(r.slot for r in out if r._shard == s) == list(range(count[s])) for s in count)
