@@ -90,6 +90,7 @@ def path_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # One hidden (name, path) per order whose key is divisible by 50; the other parts are present.
 HIDDEN = f"""hidden AS (SELECT doc AS query, name, path FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY {draw("doc || ':' || path || ':' || name", 'hide')}, path, name) AS k FROM uses WHERE doc % 50 = 0) WHERE k = 1),
     present AS (SELECT DISTINCT u.doc AS query, u.path FROM uses u JOIN hidden h ON h.query = u.doc WHERE u.path <> h.path), known AS (SELECT DISTINCT path FROM prior UNION SELECT path FROM often)"""
+HIDDEN_OF_ALL = HIDDEN.replace(" WHERE doc % 50 = 0", "")
 RANKED = """asked AS (SELECT h.query, p.path, p.q FROM hidden h JOIN prior p USING (name)), ctx AS (SELECT query, path AS present FROM present WHERE path IN (SELECT path FROM known)),
     summed AS (SELECT a.query, a.path, sum(coalesce(x.q, y.q, 0)) AS s FROM asked a JOIN ctx c ON c.query = a.query AND c.present <> a.path LEFT JOIN pmi x ON x.path = a.path AND x.other = c.present LEFT JOIN pmi y ON y.path = c.present AND y.other = a.path GROUP BY a.query, a.path),
     scored AS (SELECT query, path, (-q + coalesce(s, 0))::DOUBLE / 16 AS score FROM asked LEFT JOIN summed USING (query, path)), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, path) AS rank FROM scored)"""
@@ -97,21 +98,22 @@ CO = """near AS (SELECT query, other AS path, sum(q) AS s FROM present JOIN pmi
     co AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, path) AS rank FROM (SELECT query, path, (s - greatest(0, least(255, round_even(-ln(c / docs) * 16, 0)::INT)))::DOUBLE / 16 AS score FROM near JOIN path_doc USING (path), docs)) WHERE rank <= 20)"""
 
 
-def _hidden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _hidden(spark: SparkSession, sf_dir: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One import hidden of each basket asked, and the present ones; searches ask the stated set of ids, evaluations all."""
     from pyspark.sql import Window
 
     from tessera.functions.draws import md5_int
 
-    uses = basket_imports(spark, sf_dir).where("doc % 50 = 0")
+    uses = basket_imports(spark, sf_dir).where("true" if every else "doc % 50 = 0")
     turn = md5_int(F.concat_ws(":", "doc", "path", "name"), "hide")
     hidden = uses.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(turn, "path", "name"))).where("k = 1").select(F.col("doc").alias("query"), "name", "path")
     present = uses.select(F.col("doc").alias("query"), "path").distinct().join(hidden.select("query", F.col("path").alias("gone")), "query").where("path <> gone").select("query", "path")
     return hidden, present
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _ranked(spark: SparkSession, sf_dir: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
     c, prior, pmi = model(spark, sf_dir)
-    hidden, present = _hidden(spark, sf_dir)
+    hidden, present = _hidden(spark, sf_dir, every)
     known = importing.path_table(prior, c.path_doc, MIN_DOC)
     return hidden, importing.rank_imports(hidden.select("query", "name"), present, prior, pmi, known)
 
@@ -127,19 +129,19 @@ def rank_co_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importing.rank_co_imports(_hidden(spark, sf_dir)[1], pmi, c.path_doc, c.docs).select("query", "path", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH {USES}, {PRIORS}, {PMI}, {HIDDEN}, {RANKED} SELECT count(*) AS queries, count(k.query) AS known, round(avg((coalesce(rank, 99) <= 1)::INT), 6) AS top1, round(avg((coalesce(rank, 99) <= 3)::INT), 6) AS top3,
+@query(f"""WITH {USES}, {PRIORS}, {PMI}, {HIDDEN_OF_ALL}, {RANKED} SELECT count(*) AS queries, count(k.query) AS known, round(avg((coalesce(rank, 99) <= 1)::INT), 6) AS top1, round(avg((coalesce(rank, 99) <= 3)::INT), 6) AS top3,
     round(count(*) FILTER (rank = 1)::DOUBLE / greatest(count(k.query), 1), 6) AS top1_known FROM hidden h LEFT JOIN ranked r USING (query, path) LEFT JOIN (SELECT DISTINCT query FROM ranked) k USING (query)""")
 def hide_one_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hidden, ranked = _ranked(spark, sf_dir)
+    hidden, ranked = _ranked(spark, sf_dir, every=True)
     return importing.hide_one(hidden.select("query", "path"), ranked)
 
 
-@query(f"""WITH {USES}, {PRIORS}, {PMI}, {HIDDEN}, {CO}, freq AS (SELECT path, row_number() OVER (ORDER BY c DESC, path) AS place FROM path_doc), truth AS (SELECT query, path FROM hidden WHERE query IN (SELECT query FROM present)),
+@query(f"""WITH {USES}, {PRIORS}, {PMI}, {HIDDEN_OF_ALL}, {CO}, freq AS (SELECT path, row_number() OVER (ORDER BY c DESC, path) AS place FROM path_doc), truth AS (SELECT query, path FROM hidden WHERE query IN (SELECT query FROM present)),
     base AS (SELECT t.query, t.path, f.place - (SELECT count(*) FROM present p JOIN freq g ON g.path = p.path WHERE p.query = t.query AND g.place < f.place) AS base FROM truth t JOIN freq f USING (path))
     SELECT k, count(*) AS queries, round(avg((coalesce(rank, 99) <= k)::INT), 6) AS hit, round(avg((base <= k)::INT), 6) AS baseline FROM base LEFT JOIN co USING (query, path), (SELECT unnest([1, 5, 10]) AS k) GROUP BY k""")
 def co_hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, _, pmi = model(spark, sf_dir)
-    hidden, present = _hidden(spark, sf_dir)
+    hidden, present = _hidden(spark, sf_dir, every=True)
     truth = hidden.select("query", "path").join(present.select("query").distinct(), "query", "left_semi")
     return importing.co_hits(truth, present, importing.rank_co_imports(present, pmi, c.path_doc, c.docs), c.path_doc)
 

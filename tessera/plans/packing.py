@@ -17,17 +17,21 @@ _MARKED = "regexp_replace(text, '([ \\t]+)( [^ \\t\\r\\n])', '\\1' || chr(1) ||
 _PRETOKENS = f"list_transform(regexp_extract_all({_MARKED}, '[\\r\\n]+[ \\t]*|[ \\t]+\\x01| ?[A-Za-z_\\x{{80}}-\\x{{10FFFF}}]+| ?[0-9]| ?[^A-Za-z0-9_\\x{{80}}-\\x{{10FFFF}} \\t\\r\\n\\x01]+|[ \\t]+'), lambda x: replace(x, chr(1), ''))"
 
 
-@query(f"WITH {FILES}, cut_up AS (SELECT file_id, {_PRETOKENS} AS p FROM files) SELECT file_id, len(p) AS n, md5(array_to_string(p, chr(2))) AS digest FROM cut_up WHERE list_max(list_transform(p, lambda x: strlen(x))) <= 128")
+# Chunks of 128 bytes may end inside a character, so pieces are shown in hex.
+_CHUNKS = f"flatten(list_transform(list_transform({_PRETOKENS}, lambda x: hex(encode(x))), lambda h: list_transform(range(0, length(h), 256), lambda i: h[i + 1 : i + 256])))"
+
+
+@query(f"WITH {FILES}, cut_up AS (SELECT file_id, {_CHUNKS} AS p FROM files) SELECT file_id, coalesce(len(p), 0) AS n, md5(array_to_string(coalesce(p, []), ' ')) AS digest FROM cut_up")
 def bpe_pretokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose pre-tokens all fit; longer ones are cut inside characters, which text cannot show."""
-    placed = files(spark, sf_dir).select("file_id", pieces.pretokens(F.col("text")).alias("p"), F.regexp_extract_all("text", F.lit(pieces.PRETOKEN), F.lit(0)).alias("whole"))
-    short = placed.where(F.array_max(F.transform("whole", lambda x: F.octet_length(x))) <= pieces.MOST_BYTES)
-    return short.select("file_id", F.size("p").cast("long").alias("n"), F.md5(F.concat_ws("\x02", F.transform("p", lambda x: x.cast("string")))).alias("digest"))
+    """Pre-tokens of every file; long ones as chunks, an empty or null text has none."""
+    placed = files(spark, sf_dir).select("file_id", F.coalesce(pieces.pretokens(F.col("text")), F.array().cast("array<binary>")).alias("p"))
+    return placed.select("file_id", F.size("p").cast("long").alias("n"), F.md5(F.concat_ws(" ", F.transform("p", F.hex))).alias("digest"))
 
 
-@query(f"WITH {FILES}, cut_up AS (SELECT unnest({_PRETOKENS}) AS piece FROM files) SELECT piece, count(*) AS c FROM cut_up WHERE strlen(piece) <= 128 GROUP BY piece HAVING count(*) >= 3")
+@query(f"WITH {FILES}, cut_up AS (SELECT unnest({_CHUNKS}) AS piece FROM files) SELECT piece, count(*) AS c FROM cut_up GROUP BY piece")
 def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bytepairs.word_table(files(spark, sf_dir)).where("c >= 3").select(F.col("piece").cast("string").alias("piece"), "c")
+    """How often each piece occurs, in hex, over all files."""
+    return bytepairs.word_table(files(spark, sf_dir)).select(F.hex("piece").alias("piece"), "c")
 
 
 @query(f"WITH {FILES}, words AS (SELECT w, count(*) AS c FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM files) GROUP BY w), pairs AS (SELECT c, unnest(list_zip(string_split(w, '')[1:-2], string_split(w, '')[2:])) AS p FROM words WHERE length(w) > 1) SELECT p[1] AS l, p[2] AS r, sum(c)::BIGINT AS c FROM pairs GROUP BY 1, 2")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: A report shows at most so many rows of a table.
+#: A table for people has at most so many rows; a larger one belongs in a file.
 MOST_ROWS = 1000
 
 
@@ -15,7 +15,9 @@ def shown(value: object) -> str:
 
 
 def markdown_table(df: DataFrame, title: str = "", order: list[str] | None = None) -> str:
-    """The first MOST_ROWS rows of a table of results."""
-    rows = (df.orderBy(*order) if order else df).limit(MOST_ROWS).collect()
+    """A table of results; more than ``MOST_ROWS`` rows are an error, as none is left out."""
+    rows = (df.orderBy(*order) if order else df).limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"over {MOST_ROWS} rows; write the table to a file instead")
     head = [f"### {title}", ""] if title else []
     return "\n".join([*head, "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(shown, r)) + " |" for r in rows)]) + "\n"

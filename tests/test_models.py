@@ -146,3 +146,9 @@ def test_resumable_stage(spark, tmp_path):
     for _ in range(2):
         assert models.run_once(spark, f"file://{tmp_path}/stage", build).count() == 3
     assert calls == [1]
+
+
+def test_reports_leave_no_row_out(spark):
+    assert reports.markdown_table(spark.range(1000)).count("\n") == 1002
+    with pytest.raises(ValueError):
+        reports.markdown_table(spark.range(1001))
