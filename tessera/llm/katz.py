@@ -22,8 +22,10 @@ Words are keyed by hashes of ``key_bits`` bits, chosen from the token count so
 that a given key collides with any other with a chance below 2^-21.
 
 Defined results for odd input: a null or empty text is one end token; a null
-id is never held out; repeated rows count each time; without training rows the
-unknown word has probability one; other columns are ignored.
+id is never held out; repeated rows count each time; equal texts have equal
+scores; a text longer than a block is a block of its own and held whole; without
+training rows the unknown word has probability one; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -24,7 +24,9 @@ meets in one task; fingerprint collisions only send more to the exact step.
 
 Defined results for odd input: a null or empty text has no bytes; texts below
 the window length are untouched; a null id comes after every other id, and rows
-with equal ids do not remove each other's bytes; other columns are ignored.
+with equal ids do not remove each other's bytes; a text longer than a block is a
+block of its own and held whole; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,15 +9,18 @@ the threshold.
 
 Defined results for odd input: a null url, or one without ``://``, has empty
 host and path and is allowed unless a rule for the empty host says otherwise;
-null html has no links; repeated pages count each time as seeds; other columns
-are ignored; an empty table gives an empty result.
+null html has no links; repeated pages count each time as seeds; of rules that
+fit equally long the one that blocks wins, and equal trust and distrust block; a
+url or html of any length is read whole; other columns are ignored; an empty
+table gives an empty result. Trust and distrust are defined by ``ROUNDS`` steps,
+so a host further than that from every seed has neither and is allowed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import cut
@@ -25,7 +28,7 @@ from tessera.llm.shared import cut
 ROUNDS = 8
 DAMPING = 0.85
 THRESHOLD = 0.5
-#: Rules are compared in one expression; a longer list belongs in a table.
+#: So many rules are compared in one expression; a longer list is joined as a table.
 MOST_RULES = 500
 _AFTER = r"://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,9 +60,7 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
-    """Longest fitting rule as struct(size, name, allow), or null; of equal ones, the one that blocks."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} are compared in one expression")
+    """Longest fitting rule as struct(size, strict, name, allow), or null; of equal ones, the one that blocks."""
     none = F.lit(None).cast("struct<size:int,strict:boolean,name:string,allow:boolean>")
     fits = [
         F.when(((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path), F.struct(F.lit(len(r.name)).alias("size"), F.lit(not r.allow).alias("strict"), F.lit(r.name).alias("name"), F.lit(r.allow).alias("allow"))).otherwise(none)
@@ -68,6 +69,27 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_max(F.array(*fits)) if fits else none
 
 
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    return spark.createDataFrame([(r.host, r.path, r.allow) for r in rules], "rule_host string, rule_path string, allow boolean")
+
+
+def with_rules(located: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFrame:
+    """``located`` (host, path, ...) with ``hit``; a long list, or a table (rule_host, rule_path, allow), is joined.
+
+    Each distinct host and path meets the rules of the host and of its parent domains.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= MOST_RULES:
+            return located.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
+        rules = rule_table(located.sparkSession, rules)
+    labels = F.split("host", r"\.", -1)
+    up = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+    met = located.select("host", "path").distinct().withColumn("rule_host", F.explode(up)).join(rules, "rule_host").where("startswith(path, rule_path)")
+    name = F.concat("rule_host", "rule_path")
+    hit = F.max(F.struct(F.length(name).alias("size"), (~F.col("allow")).alias("strict"), name.alias("name"), "allow")).alias("hit")
+    return located.join(met.groupBy("host", "path").agg(hit), ["host", "path"], "left")
+
+
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """Distinct (src, dst) from absolute links and from the domain hierarchy."""
     links = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?https?://([^/?#"'\s>]*)"""), F.lit(1)), lambda h: F.translate(h, _UPPER, _LOWER)))
@@ -98,11 +120,11 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: fl
     return rank
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust, per page."""
     url = F.col(url_col).cast("string")
     located = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(html_col).cast("string").alias("html"))
-    ruled = located.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
+    ruled = with_rules(located, rules)
     per_host = cut(ruled.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("hit.allow")).alias("allowed"), F.count_if(~F.col("hit.allow")).alias("blocked")), "urls-hosts")
     edges = cut(host_edges(located, per_host), "urls-edges")
     trust = spread(per_host.select("host", F.col("allowed").cast("double").alias("weight")), edges, rounds, name="urls-trust")

@@ -181,6 +181,10 @@ def test_urls(spark):
         (7, "a.org", "/es/", "org/es/", "block"), (8, "example.net", "/de/81", "example.net/de/8", "block"), (9, "net", "/de/", "net/de/", "allow"), (10, "sub.bad.com", "", None, "block"),
     ]
     assert urls.judge(df.limit(0)).count() == 0
+    few = sorted(map(str, urls.judge(df).collect()))
+    for rules in (urls.rule_table(spark, urls.RULES), (*urls.RULES, *(urls.Rule(f"h{i}.example", "/", False) for i in range(600)))):
+        judged = urls.judge(df, rules)
+        assert sorted(map(str, judged.collect())) == few
 
 
 def test_pii_additions(small_docs):
