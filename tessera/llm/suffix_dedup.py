@@ -359,7 +359,8 @@ def send_suffixes(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
         lcp, rest = front_coded(rows[own])
         out.append({"bid": block.bid, "part": p, "vals": _join([pack_ints(lcp), squeeze(rest), pack_ints(least[own])])})
     note = _join([pack_ints(p1, delta=True), pack_ints(p2 - p1), pack_ints(number), pack_ints(least), pack_ints(at)])
-    out.append({"bid": block.bid, "part": parts + block.bid % parts, "vals": note})
+    # block numbers are spread by a hash, as their lower bits are alike
+    out.append({"bid": block.bid, "part": parts + int(mix(np.array([block.bid], np.uint64))[0]) % parts, "vals": note})
     return pa.Table.from_pylist(out, _RUN_ARROW)
 
 
