@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.running import running_total
-from tessera.llm.shared import cut, discard, fresh
+from tessera.llm.shared import PAUSE, cut, discard, fresh, release
 
 SHARDS = 24
 ROUNDS = None
@@ -123,6 +123,7 @@ def propagate(nodes: DataFrame, features: DataFrame, n_shards: int = SHARDS, rou
     big = extra * (base + 1)
     shard = F.when(F.col("rank") < big, F.floor(F.col("rank") / (base + 1))).otherwise(extra + F.floor((F.col("rank") - big) / max(base, 1))).cast("int")
     labels = cut(ranked.select("key", shard.alias("shard")), "sharding-labels")
+    discard(ranked)
     common = cut(features.groupBy("feature").agg(F.count("*").alias("n")).where("n > 1"), "sharding-features")
     # features in over a 1/HOT_SHARE of all places are fewer than HOT_SHARE, so they are broadcast; the others are dealt
     total = common.agg(F.sum("n")).first()[0] or 0
@@ -183,6 +184,8 @@ def propagate(nodes: DataFrame, features: DataFrame, n_shards: int = SHARDS, rou
         old, labels = labels, cut(labels.join(moved, "key", "left").select("key", F.coalesce("to", "shard").cast("int").alias("shard")), "sharding-labels")
         for df in (old, standing, ranked):
             discard(df)
+    for df in (common, links):
+        discard(df)
     return labels
 
 
@@ -198,13 +201,17 @@ def _placed(base: DataFrame, n_shards: int, rounds: int | None) -> DataFrame:
     The rank by text hash, id and then row is the key of a row from here on, so
     that ties fall alike however the table is split.
     """
-    keyed = cut(running_total(base, ["place", "doc_id", "row"], F.lit(1), "key", "sharding-keys"), "sharding-keyed")
+    ranked = running_total(base, ["place", "doc_id", "row"], F.lit(1), "key", "sharding-keys")
+    keyed = cut(ranked, "sharding-keyed")
+    discard(ranked)
     features = keyed.select("key", F.explode("features").alias("feature"))
     labels = propagate(keyed, features, n_shards, rounds)
     slim = keyed.drop("features").join(labels, "key")
     ordered = running_total(slim, ["shard", "key"], F.lit(1), "rank", "sharding-slots")
     counts = dict(labels.groupBy("shard").count().collect())  # one row per shard
     first = [0, *accumulate(counts.get(s, 0) for s in range(n_shards))][:n_shards]
+    for df in (keyed, labels):
+        discard(df)
     return ordered.withColumn("slot", (F.col("rank") - _case(F.col("shard"), first)).cast("long"))
 
 
@@ -222,5 +229,7 @@ def with_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row, shard, slot = (fresh(c, docs) for c in ("blp_row", "shard", "slot"))
     kept = cut(docs.withColumn(row, F.monotonically_increasing_id()), "sharding-documents")
     base = cut(kept.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), place.alias("place"), features.alias("features")), "sharding-base")
-    placed = _placed(base, n_shards, rounds).select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    placed = cut(_placed(base, n_shards, rounds).select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot)), "sharding-placed")
+    discard(base)
+    release(docs.sparkSession, PAUSE)
     return kept.join(placed, row).drop(row)
