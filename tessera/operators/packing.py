@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.draws import md5_int, unit
 from tessera.operators.ranks import running_total
+from tessera.sources.storage import cut
 
 #: Bounds of documents with a cut-out middle, in tokens.
 MAX_MID, MAX_SUF, MARGIN, SHRINK_MIN, MIN_PRE, MAX_SKIP = 256, 512, 8, 384, 32, 32
@@ -110,6 +111,13 @@ def fim_document(pre: Column, mid: Column, suf: Column, header: Column, spm: Col
     return F.when(spm, F.concat(sp("<|fim_prefix|>"), sp("<|fim_suffix|>"), suf, sp("<|fim_middle|>"), header, pre, mid, sp("<|endoftext|>"))).otherwise(psm)
 
 
+def dealt_streams(docs: DataFrame, tokens: int = 4 << 20) -> DataFrame:
+    """``docs`` (doc, n_tokens, ...) with shard: streams of about ``tokens`` tokens, as many as the table needs, dealt by a hash of doc."""
+    kept = cut(docs, "stream-documents")
+    total = kept.agg(F.sum(F.col("n_tokens").cast("long"))).first()[0] or 0
+    return kept.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-total // tokens)))).cast("int"))
+
+
 def pack_windows(docs: DataFrame, length: int) -> DataFrame:
     """shard, window, pieces: documents packed into windows of ``length`` + 1 tokens, one stream per shard.
 

@@ -140,15 +140,15 @@ def fim_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pack_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of 1025 tokens from plain documents and ones with their middle last, in eight streams."""
+    """Windows of 1025 tokens from plain documents and ones with their middle last, in streams of bounded size."""
     from tessera.functions.draws import md5_int, unit as drawn
 
     part = packing.fim_pieces(F.col("body"), F.col("a"), F.col("b"), 1, 1024)
     known = _bodies(spark, sf_dir).withColumns(part).withColumn("fim", drawn(F.col("file_id"), "fim") < 0.5)
     around = F.size("mid") + F.size("suf") + 5
     n = F.when(F.col("fim"), around + F.size("pre")).otherwise(F.size("body") + 2)
-    docs = known.select((F.col("file_id") % 8).cast("int").alias("shard"), md5_int(F.col("file_id"), "turn").alias("turn"), F.col("file_id").alias("doc"), n.cast("int").alias("n_tokens"), F.when(F.col("fim"), around).otherwise(0).cast("int").alias("fixed"))
-    return packing.pack_windows(docs, 1024)
+    docs = known.select(md5_int(F.col("file_id"), "turn").alias("turn"), F.col("file_id").alias("doc"), n.cast("int").alias("n_tokens"), F.when(F.col("fim"), around).otherwise(0).cast("int").alias("fixed"))
+    return packing.pack_windows(packing.dealt_streams(docs), 1024)
 
 
 @query()
@@ -159,8 +159,8 @@ def eval_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = packing.fim_pieces(F.col("body"), F.col("a"), F.col("b"), 1, 1024)
     known = _bodies(spark, sf_dir).withColumns(part)
     around = F.size("mid") + F.size("suf") + 5
-    docs = known.select(F.lit(0).alias("shard") + (F.col("file_id") % 4).cast("int"), md5_int(F.col("file_id"), "eval").alias("turn"), F.col("file_id").alias("doc"), (around + F.size("pre")).cast("int").alias("n_tokens"), around.cast("int").alias("fixed")).toDF("shard", "turn", "doc", "n_tokens", "fixed")
-    return packing.pack_windows(docs, 1024)
+    docs = known.select(md5_int(F.col("file_id"), "eval").alias("turn"), F.col("file_id").alias("doc"), (around + F.size("pre")).cast("int").alias("n_tokens"), around.cast("int").alias("fixed"))
+    return packing.pack_windows(packing.dealt_streams(docs), 1024)
 
 
 @query(f"WITH {_SIZED} SELECT repo, count(*) AS files, sum(n_tokens)::BIGINT AS tokens, round(sum(n_tokens * least(1.0::DOUBLE, sqrt(5000.0::DOUBLE / greatest(total, 1)))), 4) AS expected FROM sized JOIN totals USING (repo) GROUP BY repo")
