@@ -19,35 +19,63 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return words.where("size(ids) > 1").select("c", F.explode(F.arrays_zip(F.slice("ids", F.lit(1), F.size("ids") - 1).alias("l"), F.slice("ids", F.lit(2), F.size("ids") - 1).alias("r"))).alias("p")).groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("c").alias("c"))
 
 
-def merge_pair(words: DataFrame, left: int, right: int, new: int) -> DataFrame:
-    """Every word with its non-overlapping (left, right) pairs replaced, from the left."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(False).alias("held"))
+def merge_pairs(words: DataFrame, merges: Merges, first: int) -> DataFrame:
+    """Every word with the pairs of ``merges`` replaced by ids from ``first`` on, from the left.
+
+    No token is in two of the pairs, so one pass does what one pass a pair would do.
+    """
+    constant = lambda values: F.create_map(*[F.lit(x) for i, (left, _) in enumerate(merges) for x in (left, values(i))])
+    right_of, new_of = constant(lambda i: merges[i][1]), constant(lambda i: first + i)
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(None).cast("int").alias("held"))
 
     def step(acc, x):
-        joined = acc["held"] & (x == right)
-        flushed = F.when(acc["held"], F.concat(acc["out"], F.array(F.lit(left)))).otherwise(acc["out"])
-        out = F.when(joined, F.concat(acc["out"], F.array(F.lit(new)))).when(x == left, flushed).otherwise(F.concat(flushed, F.array(x)))
-        return F.struct(out.alias("out"), (~joined & (x == left)).alias("held"))
+        flushed = F.when(acc["held"].isNotNull(), F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"])
+        joined = F.coalesce(F.element_at(right_of, acc["held"]) == x, F.lit(False))
+        opens = F.element_at(right_of, x).isNotNull()
+        out = F.when(joined, F.concat(acc["out"], F.array(F.element_at(new_of, acc["held"])))).when(opens, flushed).otherwise(F.concat(flushed, F.array(x)))
+        return F.struct(out.alias("out"), F.when(~joined & opens, x).alias("held"))
 
-    finished = F.aggregate("ids", start, step, lambda acc: F.when(acc["held"], F.concat(acc["out"], F.array(F.lit(left)))).otherwise(acc["out"]))
+    finished = F.aggregate("ids", start, step, lambda acc: F.when(acc["held"].isNotNull(), F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"]))
     return words.withColumn("ids", finished)
 
 
-def learn(words: DataFrame, n_merges: int, every: int = 4) -> Merges:
+def together(best: list[tuple[int, int]]) -> Merges:
+    """The leading pairs of ``best`` that would be learnt in this order one at a time.
+
+    A merge changes counts of pairs with one of its tokens only, and a pair with
+    the new token is at most as frequent as an old one with that token, and comes
+    after it in a tie. So pairs that share no token with those before them may be
+    merged with them, up to the first that does share one, or a token beside itself.
+    """
+    out, used = [], set()
+    for left, right in best:
+        if left in used or right in used:
+            break
+        out.append((left, right))
+        used |= {left, right}
+        if left == right:
+            break
+    return out
+
+
+def learn(words: DataFrame, n_merges: int, every: int = 4, most: int = 64) -> Merges:
     """The most frequent pair, again and again; ties go to the smallest. Stops at pairs seen once.
 
-    Counting and merging stay distributed; the driver holds the merges only. ``words`` is (piece, c).
+    Counting and merging stay distributed; the driver holds the merges only, and
+    looks at ``most`` pairs a job. ``words`` is (piece, c).
     """
     table = cut(words.select(F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda i: F.conv(F.hex(F.substring("piece", i, F.lit(1))), 16, 10).cast("int")).alias("ids"), "c"), "bpe-words")
     merges: Merges = []
+    turn = 0
     while len(merges) < n_merges:
-        best = pair_counts(table).orderBy(F.col("c").desc(), "l", "r").limit(1).collect()
-        if not best or best[0]["c"] < 2:
+        best = pair_counts(table).where("c > 1").orderBy(F.col("c").desc(), "l", "r").limit(min(most, n_merges - len(merges))).collect()
+        found = together([(x["l"], x["r"]) for x in best])
+        if not found:
             break
-        left, right = best[0]["l"], best[0]["r"]
-        table = merge_pair(table, left, right, 256 + len(merges))
-        merges.append((left, right))
-        if len(merges) % every == 0:
+        table = merge_pairs(table, found, 256 + len(merges))
+        merges += found
+        turn += 1
+        if turn % every == 0:
             table = cut(table, "bpe-words")
     return merges
 
