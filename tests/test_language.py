@@ -297,3 +297,18 @@ def test_groups_and_windows(spark):
     for budget in (1, 30, 31, 100, 101, 260, 999):
         want = next((c for c in range(1, 201) if sum(min(t, c) for t in (10, 50, 200)) >= budget), 200)
         assert packing.waterfill_cap(totals, budget).first().cap == want
+
+
+def test_pairs_merged_together():
+    assert bytepairs.together([(1, 2), (3, 4), (5, 1), (6, 7)]) == [(1, 2), (3, 4)]
+    assert bytepairs.together([(1, 2), (3, 3), (4, 5)]) == [(1, 2), (3, 3)]
+    assert bytepairs.together([]) == []
+
+
+def test_streams_grow_with_tokens(spark):
+    docs = spark.createDataFrame([(i % 7, i, 100, 0) for i in range(200)], "turn long, doc long, n_tokens int, fixed int")
+    dealt = packing.dealt_streams(docs, 2_000)
+    assert {r.shard for r in dealt.select("shard").distinct().collect()} == set(range(10))
+    pieces = packing.pack_windows(dealt, 64).groupBy("doc").agg(F.sum("n").alias("n")).collect()
+    assert len(pieces) == 200 and all(r.n == 100 for r in pieces)
+    assert packing.dealt_streams(docs.limit(0)).count() == 0
