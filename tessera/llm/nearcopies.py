@@ -1,10 +1,15 @@
-"""Near copies on word shingles: MinHash buckets propose, the Jaccard similarity decides.
+"""Near copies on word shingles: SimHash trees and MinHash buckets propose, the Jaccard similarity decides.
 
 A text is the set of its runs of five words. Texts of equal sets are one class,
-and its first row stands for it. Twenty bands of five minima put two sets of
-similarity 0.8 into a common bucket with probability 1 - (1 - 0.8^5)^20 = 0.9996,
-more alike ones more surely; two classes in a common bucket are linked if their
-sets have a Jaccard similarity of at least 0.8.
+and its first row stands for it. The SimHash fingerprints of the sets go through
+the vantage-point trees of ``simhash``, whose shards report spanning links
+between fingerprints at most ``RADIUS`` bits apart; equal fingerprints are
+linked too. Those links whose sets have a Jaccard similarity of at least 0.8
+stand and are joined to components. Most pairs that are less alike than some
+0.95 lie further apart than trees can reach, so what unlike components hold is
+proposed once more: twenty bands of five minima put two sets of similarity 0.8
+into a common bucket with probability 1 - (1 - 0.8^5)^20 = 0.9996, more alike
+ones more surely; two classes in a common bucket are linked by the same test.
 
 Classes are dealt to tiles of bounded bytes, those of a bucket next to each
 other. Two tiles that share a bucket meet in one task, first with a byte of each
@@ -35,10 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.packing import text_bytes
 from tessera.llm.running import running_total
 from tessera.llm.shared import cut, discard, fresh
-from tessera.llm.simhash import Forest, components, first_of_each, shingle_hashes
+from tessera.llm.simhash import RADIUS, Forest, components, first_of_each, shingle_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -88,8 +94,21 @@ def buckets(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return _mixed((least.reshape(BANDS, ROWS, -1) * _BAND_TIMES[:, :, None]).sum(axis=1, dtype=np.uint64)).T, short
 
 
+def fingerprints(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """SimHash of each set; an empty one has zero."""
+    size = np.diff(begin)
+    full = np.flatnonzero(size)
+    first, ones = begin[:-1][full], np.zeros((len(size), 64), np.int64)
+    for lo in range(0, len(hashes), 65_536):
+        part = hashes[lo : lo + 65_536]
+        a, b = np.searchsorted(first, lo, side="right") - 1, np.searchsorted(first, lo + len(part))
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones[full[a:b]] += np.add.reduceat(bits, np.maximum(first[a:b], lo) - lo, axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > size[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64)
+
+
 def sketches(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
-    """key, print (digest of the set), weight (its bytes), buckets and bytes of the minima of every row."""
+    """key, print (digest of the set), weight (its bytes), fp (its SimHash), buckets and bytes of the minima of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +123,7 @@ def sketches(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(np.where(np.diff(begin) > 0, BANDS, 0))])
                 placed = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.ascontiguousarray(found).reshape(-1).view(np.int64)))
                 prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in held], pa.binary())
-                return pa.RecordBatch.from_arrays([keys.slice(lo, len(held)), prints, pa.array(8 * np.diff(begin)), placed, minima], names=["key", "print", "weight", "buckets", "minima"])
+                return pa.RecordBatch.from_arrays([keys.slice(lo, len(held)), prints, pa.array(8 * np.diff(begin)), pa.array(fingerprints(hashes, begin).view(np.int64)), placed, minima], names=["key", "print", "weight", "fp", "buckets", "minima"])
 
             for _, own in shingle_sets(*text_bytes(batch.column(1)), words):
                 held.append(own)
@@ -116,7 +135,7 @@ def sketches(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
                 yield flush()
 
     slim = docs.select(F.col(key), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(rows, "key long, print binary, weight long, buckets array<long>, minima binary")
+    return slim.mapInArrow(rows, "key long, print binary, weight long, fp long, buckets array<long>, minima binary")
 
 
 def sets_of(docs: DataFrame, key: str, text_col: str, words: int) -> DataFrame:
@@ -142,6 +161,29 @@ def _alike(n: np.ndarray, m: np.ndarray, both: np.ndarray, similarity: float) ->
     return both >= similarity * (n + m - both) - 1e-9
 
 
+def hopeful_pairs(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) that their sizes and minima leave hope."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(batch), -1) for i in (4, 5))
+            keep = (np.minimum(n, m) >= similarity * np.maximum(n, m)) & ((x == y).sum(axis=1) >= HOPE)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+
+    side = lambda c: heads.select(F.col("node").alias(c), F.col("weight").alias(f"weight_{c}"), F.col("minima").alias(f"minima_{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "weight_a", "weight_b", "minima_a", "minima_b")
+    return both.mapInArrow(rows, "a long, b long")
+
+
+def tree_pairs(heads: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) that hang together all classes whose fingerprints lie at most ``radius`` bits apart."""
+    full = heads.where("weight > 0").select("node", "fp")
+    points = cut(full.groupBy("fp").agg(F.min("node").alias("node")), "near-points")
+    equal = full.join(points.withColumnRenamed("node", "a"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    return simhash.links(points, radius).select("a", "b").unionByName(equal)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are alike enough."""
 
@@ -280,29 +322,34 @@ def tile_links(placed: DataFrame, heads: DataFrame, sets: DataFrame, similarity:
     return out
 
 
-def links(placed: DataFrame, heads: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that hang together what all confirmed pairs of ``placed`` (node, bucket, n, weight) do."""
-    found, turn = [], 0
-    placed = placed.withColumn("component", F.col("node"))
-    while placed.where(F.col("n") > WIDE).limit(1).count():
+def unlike(placed: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """Rows of ``placed`` in buckets that the links ``found`` leave in more than one component, with its components."""
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    named = placed.drop("component").join(components(every), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
+    return cut(named.join(mixed, "bucket", "left_semi"), "near-places")
+
+
+def links(placed: DataFrame, heads: DataFrame, sets: DataFrame, found: list[DataFrame], similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that hang together what ``found`` and all confirmed pairs of ``placed`` (node, bucket, n, weight) do."""
+    placed, turn = unlike(placed, found), 0
+    while not (wide := placed.where(F.col("n") > WIDE)).isEmpty():
         drawn = F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")
-        leads = placed.where(F.col("n") > WIDE).groupBy("bucket").agg(F.min(drawn).alias("lead")).select("bucket", F.col("lead.node").alias("a"), F.col("lead.component").alias("of"))
-        pairs = placed.join(leads, "bucket").where("component <> of").select("a", F.col("node").alias("b")).distinct()
-        near = cut(confirmed(pairs, sets, similarity), "near-links")
-        if not near.limit(1).count():
+        leads = wide.groupBy("bucket").agg(F.min(drawn).alias("lead")).select("bucket", F.col("lead.node").alias("a"), F.col("lead.component").alias("of"))
+        pairs = wide.join(leads, "bucket").where("component <> of").select("a", F.col("node").alias("b")).distinct()
+        hope = cut(hopeful_pairs(pairs, heads, similarity), "near-pairs")
+        near = cut(confirmed(hope, sets, similarity), "near-links")
+        discard(hope)
+        if near.isEmpty():
             break
-        found.append(near)
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        joined = components(every)
-        named = placed.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
-        earlier, placed = placed, cut(named.join(mixed, "bucket", "left_semi"), "near-places")
-        if turn:
-            discard(earlier)
+        found = [*found, near]
+        earlier, placed = placed, unlike(placed, found)
+        discard(earlier)
         turn += 1
     out = tile_links(placed, heads, sets, similarity)
+    discard(placed)
     for more in found:
         out = out.unionByName(more)
     return out
@@ -313,14 +360,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     key = fresh("near_key", docs)
     kept = cut(docs.withColumn(key, F.monotonically_increasing_id()), "near-documents")
     prints = cut(sketches(kept, key, text_col, words), "near-prints")
-    heads = cut(prints.groupBy("print").agg(F.min(F.struct("key", "weight", "buckets", "minima")).alias("first")).select("print", F.col("first.key").alias("node"), "first.weight", "first.buckets", "first.minima"), "near-heads")
+    first = prints.groupBy("print").agg(F.min(F.struct("key", "weight", "fp", "buckets", "minima")).alias("first"))
+    heads = cut(first.select("print", F.col("first.key").alias("node"), "first.weight", "first.fp", "first.buckets", "first.minima"), "near-heads")
     every = heads.select("node", "weight", F.explode("buckets").alias("bucket"))
     placed = cut(every.join(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "near-places")
-    asked = kept.join(placed.select(F.col("node").alias(key)).distinct(), key, "left_semi")
-    sets = cut(sets_of(asked, key, text_col, words), "near-sets")
-    joined = components(links(placed, heads, sets, similarity))
+    pairs = cut(hopeful_pairs(tree_pairs(heads), heads, similarity), "near-pairs")
+    asked = placed.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node")))
+    texts = kept.join(asked.select(F.col("node").alias(key)).distinct(), key, "left_semi")
+    sets = cut(sets_of(texts, key, text_col, words), "near-sets")
+    trees = cut(confirmed(pairs, sets, similarity), "near-links")
+    joined = components(links(placed, heads, sets, [trees], similarity))
     labelled = heads.join(joined, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     named = cut(prints.select("key", "print").join(labelled, "print").select("key", "component"), "near-named")
-    for df in (prints, heads, placed, sets):
+    for df in (prints, heads, placed, pairs, sets):
         discard(df)
     return first_of_each(kept, named, key, id_col)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import brute
 import corpus_pipeline
+import xxhash
 from test_others import fair_queue
 
 from tessera.llm import nearcopies, quality
@@ -74,6 +75,34 @@ def test_wide_buckets_and_small_tiles_lose_no_links(spark, monkeypatch):
     assert kept(nearcopies.keep_one(df)) == want
 
 
+def simhash_of(shingles):
+    """The majority of each bit over the distinct shingles."""
+    hashes = [xxhash.xxh64_intdigest(" ".join(x).encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprint_trees_link_near_copies_by_themselves(spark, monkeypatch):
+    rng = random.Random(7)
+    docs = []
+    for k in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:-1], "last"]))]
+    sets = [shingle_set(t) for _, t in docs]
+    prints = [simhash_of(x) for x in sets]
+    body, at = nearcopies.text_bytes(nearcopies.pa.array([t for _, t in docs]))
+    own = [x for _, x in nearcopies.shingle_sets(body, at)]
+    begin = [0]
+    for x in own:
+        begin.append(begin[-1] + len(x))
+    assert nearcopies.fingerprints(nearcopies.np.concatenate(own), nearcopies.np.array(begin)).tolist() == prints
+    near = [k for k in range(40) if (prints[2 * k] ^ prints[2 * k + 1]).bit_count() <= 3 and alike(sets[2 * k], sets[2 * k + 1])]
+    assert len(near) > 10
+    # buckets propose nothing, so that what is linked is linked by the trees
+    monkeypatch.setattr(nearcopies, "tile_links", lambda *_: spark.createDataFrame([], "a long, b long"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert kept(corpus_pipeline.drop_near_copies(spark, df, "")) == [(False, i) for i in range(80) if i % 2 == 0 or i // 2 not in near]
+
+
 def test_run(spark, tmp_path, small_docs, small_benchmark, small_rows, monkeypatch):
     small_docs.write.parquet(f"{tmp_path}/documents.parquet")
     small_benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
