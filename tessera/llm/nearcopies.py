@@ -11,16 +11,18 @@ proposed once more: twenty bands of five minima put two sets of similarity 0.8
 into a common bucket with probability 1 - (1 - 0.8^5)^20 = 0.9996, more alike
 ones more surely; two classes in a common bucket are linked by the same test.
 
-Classes are dealt to tiles of bounded bytes, those of a bucket next to each
-other. Two tiles that share a bucket meet in one task, first with a byte of each
-of the hundred minima of the classes in such buckets, then with the sets of
-those for which the bytes leave hope: fewer than 60 equal ones of a pair of
-similarity 0.8 have a chance below 10^-5. The task compares the sets and reports
-a spanning forest of the links, so no pair is ever a row. A bucket that spans many tiles
-is first thinned: each of its classes is compared with one of them, drawn anew
-in every round, until the bucket is one component or a round links nothing. So
-a group of copies costs a comparison a row; only what hangs together loosely
-in a large bucket is compared tile by tile.
+Classes are dealt to tiles, those of a bucket next to each other. Two wide tiles
+(a bounded number of classes) that hold unlike components of a bucket meet in
+one task with a byte of each of the hundred minima of the classes in such
+buckets; fewer than 60 equal ones of a pair of similarity 0.8 have a chance below
+10^-5. Those with a partner for whom the bytes leave hope meet again with their
+sets, in tiles of bounded bytes. The task compares the sets and reports a
+spanning forest of the links, so no pair is ever a row, and a class is sent on
+only to tiles that hold, in a bucket of its own, another component than its own.
+A bucket that spans several wide tiles is first thinned: each of its classes is
+compared with one of them, drawn anew in every round, until the bucket is one
+component or a round links nothing. So a group of copies costs a comparison a
+row; only what hangs together loosely in a large bucket is compared tile by tile.
 
 Defined results for odd input: texts of fewer than five words have one shingle,
 of all of them; null, empty and blank texts have none and are one class; a
@@ -44,13 +46,16 @@ from tessera.llm import simhash
 from tessera.llm.packing import text_bytes
 from tessera.llm.running import running_total
 from tessera.llm.shared import cut, discard, fresh
-from tessera.llm.simhash import RADIUS, Forest, components, first_of_each, shingle_hashes
+from tessera.llm.sieve import sieve, sifted
+from tessera.llm.simhash import RADIUS, Forest, components, shingle_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 #: Bytes of the sets of a tile, and what a class weighs beside its set.
 TILE_BYTES, CLASS_BYTES = 512 << 10, 512
+#: Classes that are weighed against each other by their minima in one task, and at once.
+TILE_CLASSES, BLOCK = 4_096, 512
 #: Classes of a bucket beyond which it is thinned first.
 WIDE = 20_000
 #: Minima of a hundred that must agree, by a byte each, for the sets to be compared.
@@ -197,7 +202,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                     keep[i] = _alike(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), similarity)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
 
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
+    def side(c: str) -> DataFrame:
+        asked = sifted(sets, "node", cut(sieve(pairs, c), "near-sieve"))[0]
+        return asked.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
+
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b")
     return both.mapInArrow(rows, "a long, b long")
 
@@ -278,33 +286,47 @@ def _dealt_to_tasks(asked: DataFrame, size: str) -> DataFrame:
 
 def tile_links(placed: DataFrame, heads: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that hang together what the linked pairs of ``placed`` (node, bucket, n, weight, component) do."""
-    nodes = placed.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("most"), F.first("weight").alias("weight"), F.collect_list("bucket").alias("buckets"))
-    nodes = nodes.select("node", F.col("most.n").alias("width"), F.col("most.bucket").alias("spot"), "buckets", "weight")
-    dealt = running_total(nodes, ["width", "spot", "node"], F.col("weight") + CLASS_BYTES, "before", "near-tiles")
-    dealt = dealt.select("node", "buckets", "weight", F.expr(f"before div {TILE_BYTES}").alias("tile"))
+    nodes = placed.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("most"), F.first("weight").alias("weight"), F.first("component").alias("component"), F.collect_list("bucket").alias("buckets"))
+    nodes = nodes.select("node", F.col("most.n").alias("width"), F.col("most.bucket").alias("spot"), "component", "buckets", "weight")
+    dealt = running_total(nodes, ["width", "spot", "component", "node"], F.col("weight") + CLASS_BYTES, "before", "near-tiles")
+    dealt = dealt.withColumn("tile", F.expr(f"before div {TILE_BYTES}")).drop("before")
+    dealt = running_total(dealt, ["width", "spot", "component", "node"], F.lit(1), "before", "near-tiles")
+    dealt = dealt.select("node", "buckets", "weight", "tile", F.expr(f"before div {TILE_CLASSES}").alias("wide"))
     dealt = cut(dealt.join(heads.select("node", "minima"), "node"), "near-dealt")
-    here = cut(placed.join(dealt.select("node", "tile"), "node").select("node", "tile", "bucket", "component"), "near-here")
-    others = here.groupBy("bucket", F.col("tile").alias("other")).agg(F.count("*").alias("members"))
-    met = here.join(others, "bucket").where("tile <> other or members > 1")
-    asked = cut(met.select(F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "node", "tile", "component").distinct(), "near-asked")
-    described = _dealt_to_tasks(asked.withColumn("bytes", F.lit(CLASS_BYTES)), "bytes").join(dealt.select("node", "buckets", "weight", "minima"), "node")
+    here = cut(placed.join(dealt.select("node", F.col("wide").alias("tile")), "node").select("node", "tile", "bucket", "component"), "near-here")
+    others = here.groupBy("bucket", F.col("tile").alias("other")).agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    met = here.join(others, "bucket").where("least <> component or most <> component")
+    asked = cut(met.select(F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "node", F.col("tile").alias("wide"), "component").distinct(), "near-asked")
+    described = _dealt_to_tasks(asked.withColumn("bytes", F.lit(CLASS_BYTES)), "bytes").join(dealt.select("node", "tile", "buckets", "weight", "minima"), "node")
     kept = "ta long, tb long, node long, tile long, component long, weight long"
 
     def hopeful(table: pa.Table) -> pa.Table:
-        """Rows with a partner that their minima leave hope for."""
-        keep = np.zeros(len(table), bool)
-        weight, tile, component = (table.column(c).to_numpy() for c in ("weight", "tile", "component"))
+        """Rows with a partner that their minima leave hope for, by the pairs of small tiles that they are to meet in."""
+        weight, tile, wide, component = (table.column(c).to_numpy() for c in ("weight", "tile", "wide", "component"))
+        out = [np.zeros((3, 0), np.int64)]
         for at, within, got in _meetings(table):
-            x, y = candidates(got["buckets"], weight[at], tile[at], component[at], within, similarity)
             minima = np.array(got["minima"])
-            for i in range(0, len(x), 20_000):
-                a, b = x[i : i + 20_000], y[i : i + 20_000]
-                good = (minima[a] == minima[b]).sum(axis=1) >= HOPE
-                keep[at[a[good]]] = keep[at[b[good]]] = True
-        return table.select([c.split()[0] for c in kept.split(", ")]).filter(pa.array(keep))
+            # blocks of classes of one wide tile, in pairs: each with those of the other one, or with itself and those after it
+            blocks = [rows[i : i + BLOCK] for w in np.unique(wide[at]).tolist() for rows in [np.flatnonzero(wide[at] == w)] for i in range(0, len(rows), BLOCK)]
+            for p, one in enumerate(blocks):
+                for other in blocks[p:]:
+                    if not within and wide[at[one[0]]] == wide[at[other[0]]]:
+                        continue
+                    rows = one if other is one else np.concatenate([one, other])
+                    side = np.zeros(len(rows), np.int64)
+                    side[len(one) :] = 1
+                    x, y = candidates([got["buckets"][i] for i in rows.tolist()], weight[at[rows]], side, component[at[rows]], other is one, similarity)
+                    for i in range(0, len(x), 20_000):
+                        a, b = rows[x[i : i + 20_000]], rows[y[i : i + 20_000]]
+                        good = (minima[a] == minima[b]).sum(axis=1) >= HOPE
+                        a, b = at[a[good]], at[b[good]]
+                        ta, tb = np.minimum(tile[a], tile[b]), np.maximum(tile[a], tile[b])
+                        out.append(np.unique(np.concatenate([[ta, tb, a], [ta, tb, b]], axis=1), axis=1))
+        ta, tb, row = np.unique(np.concatenate(out, axis=1), axis=1)
+        return table.select(["node", "tile", "component", "weight"]).take(pa.array(row)).add_column(0, "tb", pa.array(tb)).add_column(0, "ta", pa.array(ta))
 
     columns = ["slot", "own_a", "own_b", "ta", "tb", "node", "tile", "component", "weight", "buckets"]
-    left = cut(described.select(*columns, "minima").groupBy("slot", "own_a", "own_b").applyInArrow(hopeful, kept), "near-hopeful")
+    left = cut(described.select(*columns, "wide", "minima").groupBy("slot", "own_a", "own_b").applyInArrow(hopeful, kept).distinct(), "near-hopeful")
     full = _dealt_to_tasks(left, "weight").join(dealt.select("node", "buckets"), "node").join(sets, "node").select(*columns, "shingles")
 
     def meet(table: pa.Table) -> pa.Table:
@@ -355,6 +377,16 @@ def links(placed: DataFrame, heads: DataFrame, sets: DataFrame, found: list[Data
     return out
 
 
+def without_copies(kept: DataFrame, named: DataFrame, key: str, id_col: str) -> DataFrame:
+    """``kept`` without rows that do not come first, by id (null last) and then key, in their component of ``named`` (key, component)."""
+    ranked = named.join(kept.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("id")), "key")
+    first = ranked.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("first"))
+    dropped = cut(named.join(first.select("component", F.col("first.key").alias("stays")), "component").where("key <> stays").select(F.col("key").alias(key)), "near-dropped")
+    # texts are exchanged only for rows that may be among the dropped
+    may_go, stay = sifted(kept, key, cut(sieve(dropped, key), "near-sieve"))
+    return stay.unionByName(may_go.join(dropped, key, "left_anti").select(*stay.columns)).drop(key)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each component of near copies, that of the least id (null last), with its own columns."""
     key = fresh("near_key", docs)
@@ -366,12 +398,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     placed = cut(every.join(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "near-places")
     pairs = cut(hopeful_pairs(tree_pairs(heads), heads, similarity), "near-pairs")
     asked = placed.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node")))
-    texts = kept.join(asked.select(F.col("node").alias(key)).distinct(), key, "left_semi")
-    sets = cut(sets_of(texts, key, text_col, words), "near-sets")
+    sets = cut(sets_of(sifted(kept, key, cut(sieve(asked, "node"), "near-sieve"))[0], key, text_col, words), "near-sets")
     trees = cut(confirmed(pairs, sets, similarity), "near-links")
     joined = components(links(placed, heads, sets, [trees], similarity))
     labelled = heads.join(joined, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     named = cut(prints.select("key", "print").join(labelled, "print").select("key", "component"), "near-named")
     for df in (prints, heads, placed, pairs, sets):
         discard(df)
-    return first_of_each(kept, named, key, id_col)
+    return without_copies(kept, named, key, id_col)

@@ -8,7 +8,7 @@ import corpus_pipeline
 import xxhash
 from test_others import fair_queue
 
-from tessera.llm import nearcopies, quality
+from tessera.llm import nearcopies, quality, sieve
 
 
 def shingle_set(text, words=5):
@@ -103,6 +103,42 @@ def test_fingerprint_trees_link_near_copies_by_themselves(spark, monkeypatch):
     assert kept(corpus_pipeline.drop_near_copies(spark, df, "")) == [(False, i) for i in range(80) if i % 2 == 0 or i // 2 not in near]
 
 
+def test_rows_of_a_large_bucket_do_not_grow_with_its_square(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(120)]
+    docs = [(i, " ".join(edited(rng, passage, 0.03))) for i in range(60)]  # hang together
+    docs += [(100 + i, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 60))])) for i in range(200)]  # do not
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want, sizes, cut = survivors(docs), {}, nearcopies.cut
+
+    def noted(df, name):
+        out = cut(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(nearcopies, "cut", noted)
+    monkeypatch.setattr(nearcopies, "TILE_BYTES", 6_000)
+    assert kept(nearcopies.keep_one(df)) == want
+    assert sizes["near-asked"] <= len(docs)
+    monkeypatch.setattr(nearcopies, "TILE_CLASSES", 16)
+    monkeypatch.setattr(nearcopies, "BLOCK", 5)
+    assert kept(nearcopies.keep_one(df)) == want
+
+
+def test_sieve_loses_no_key_and_needs_no_exchange(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id as key", "id * 2 as word", "'x' as text")
+    keys = df.where("key % 10 = 0").select("key")
+    for bits in (sieve.BITS, 64):
+        monkeypatch.setattr(sieve, "BITS", bits)
+        may_be, not_in = sieve.sifted(df, "key", sieve.sieve(keys, "key"))
+        assert may_be.columns == not_in.columns == df.columns
+        got, rest = ({r.key for r in x.collect()} for x in (may_be, not_in))
+        assert got >= set(range(0, 3000, 10)) and not got & rest and got | rest == set(range(3000))
+        assert bits == 64 or len(got) < 310
+        join = not_in._jdf.queryExecution().optimizedPlan().toString()
+        assert "rightHint=(strategy=broadcast)" in join
+
+
 def test_run(spark, tmp_path, small_docs, small_benchmark, small_rows, monkeypatch):
     small_docs.write.parquet(f"{tmp_path}/documents.parquet")
     small_benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
