@@ -172,7 +172,7 @@ def hopeful_pairs(pairs: DataFrame, heads: DataFrame, similarity: float) -> Data
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(i).to_numpy() for i in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(batch), -1) for i in (4, 5))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(batch), BANDS * ROWS) for i in (4, 5))
             keep = (np.minimum(n, m) >= similarity * np.maximum(n, m)) & ((x == y).sum(axis=1) >= HOPE)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
 

@@ -176,3 +176,10 @@ def test_run(spark, tmp_path, small_docs, small_benchmark, small_rows, monkeypat
     count = Counter(r._shard for r in out)  # the documents have a shard column of their own
     assert max(count.values()) - min(count.values()) <= 1
     assert all(sorted(r.slot for r in out if r._shard == s) == list(range(count[s])) for s in count)
+
+
+def test_near_copies_of_few_rows(spark):
+    for texts in ([], [None], ["", None, " "], ["a b", "a b", "c"], ["one two three four five six"] * 3):
+        docs = list(enumerate(texts))
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        assert kept(nearcopies.keep_one(df)) == survivors(docs)
