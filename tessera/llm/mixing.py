@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.running import running_total
-from tessera.llm.shared import PAUSE, cut, discard, fresh, release
+from tessera.llm.shared import PAUSE, beside, cut, discard, fresh, numbered, release
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -108,15 +108,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Columns wfq_lap and wfq_finish follow (with underscores before them if ``docs`` has such).
     """
     key, lap, finish, laps = (fresh(c, docs) for c in ("wfq_key", "wfq_lap", "wfq_finish", "wfq_laps"))
-    kept = cut(docs.withColumn(key, F.monotonically_increasing_id()), "mixing-documents")
+    kept = numbered(docs, key, "mixing-documents")
     sizes = _sizes(kept, key, id_col, text_col, source_col, seed)
     copies = _copies(sizes, cut(source_targets(sizes), "mixing-targets"))
-    inside = copies.join(sizes.select("key", "size"), "key").where("2 * taken > size")
-    both = inside.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("lap", "finish")).alias(laps))  # two at most
-    # written before the range sort, so that the texts of the join's shuffle and of the sort's never lie side by side
-    chosen = cut(kept.join(both, key), "mixing-chosen")
-    for df in (copies, sizes, kept):
+    whole = F.when(2 * F.col("taken") > F.col("size"), F.struct("lap", "finish"))
+    both = sizes.select("key", "size").join(copies, "key", "left").groupBy(F.col("key").alias(key)).agg(F.collect_list(whole).alias(laps))  # two at most, or none
+    chosen = cut(both, "mixing-chosen")
+    for df in (copies, sizes):
         discard(df)
     release(docs.sparkSession, PAUSE)
-    each = chosen.withColumn(laps, F.explode(laps)).withColumns({lap: F.col(laps)["lap"], finish: F.col(laps)["finish"]}).drop(laps)
+    # the range sort alone exchanges texts
+    each = beside(kept, chosen, key).withColumn(laps, F.explode(laps)).withColumns({lap: F.col(laps)["lap"], finish: F.col(laps)["finish"]}).drop(laps)
     return each.repartitionByRange(finish, key, lap).sortWithinPartitions(finish, key, lap).drop(key)

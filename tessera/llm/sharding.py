@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.running import running_total
-from tessera.llm.shared import PAUSE, cut, discard, fresh, release
+from tessera.llm.shared import PAUSE, beside, cut, discard, fresh, numbered, release
 
 SHARDS = 24
 ROUNDS = None
@@ -227,9 +227,9 @@ def with_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with its own columns, then shard and slot (with underscores before them if ``docs`` has such)."""
     _, place, features = _prepared(docs, text_col)
     row, shard, slot = (fresh(c, docs) for c in ("blp_row", "shard", "slot"))
-    kept = cut(docs.withColumn(row, F.monotonically_increasing_id()), "sharding-documents")
+    kept = numbered(docs, row, "sharding-documents")
     base = cut(kept.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), place.alias("place"), features.alias("features")), "sharding-base")
     placed = cut(_placed(base, n_shards, rounds).select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot)), "sharding-placed")
     discard(base)
     release(docs.sparkSession, PAUSE)
-    return kept.join(placed, row).drop(row)
+    return beside(kept, placed, row).drop(row)

@@ -7,7 +7,8 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,6 +75,56 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of a block of ``numbered``, as a power of two.
+BLOCK_BITS = 18
+
+
+def _block(key: str) -> Column:
+    return F.shiftright(F.col(key), BLOCK_BITS)
+
+
+def _buckets(spark: SparkSession) -> int:
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``cut`` of ``df`` with a number of every row in ``key``, and that of its block in a column after it, for ``beside``.
+
+    A block is what one task wrote, or 2 ** ``BLOCK_BITS`` rows of it. Blocks lie in one file each, or
+    in few, dealt to as many buckets as there are shuffle partitions, so that what is known
+    of the rows can come to them. Only a catalog tells Spark of buckets; the table leaves it at once.
+    """
+    spark = df.sparkSession
+    path, table = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", f"tessera_{uuid.uuid4().hex}"
+    rows = df.withColumn(key, F.monotonically_increasing_id())
+    block = fresh(f"{key}_block", rows)
+    release(spark)
+    rows.withColumn(block, _block(key)).write.bucketBy(_buckets(spark), block).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(table)
+    if _written is not None:
+        _written.append(path)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name alone: files outside the warehouse stay
+    return out
+
+
+def beside(kept: DataFrame, slim: DataFrame, key: str) -> DataFrame:
+    """``kept``, all of what ``numbered`` returned, with the columns that ``slim`` has for its rows.
+
+    ``slim`` needs a row for every row of ``kept``, by ``key``. It is dealt by blocks to the
+    tasks that read their files; a block's rows in order are one list, from which each
+    row of ``kept`` takes its own. So the rows of ``kept`` are neither exchanged nor sorted.
+    """
+    block, held = kept.columns[-1], fresh(f"{key}_held", kept)
+    names = [c for c in slim.columns if c != key]
+    dealt = slim.withColumn(block, _block(key)).repartition(_buckets(kept.sparkSession), block)
+    lists = dealt.groupBy(block).agg(F.array_sort(F.collect_list(F.struct(key, *names))).alias(held))
+    at = F.col(key).bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
+    own = F.get(held, at)
+    own = F.when(own[key] == F.col(key), own).otherwise(F.raise_error(F.lit("a row has nothing beside it")))
+    joined = kept.join(lists.hint("shuffle_hash"), block, "left").withColumn(held, own)
+    return joined.withColumns({c: F.col(held)[c] for c in names}).drop(block, held)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the tables that ``cut`` wrote and ``df`` scans; nothing may read them any more."""
     spark = df.sparkSession

@@ -1,5 +1,6 @@
 import hashlib
 import heapq
+import re
 import wave
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import media, mixing, pii, quality, sharding, urls
+from tessera.llm import media, mixing, pii, quality, sharding, shared, urls
 
 
 def targets(sizes, weights=(3, 1, 2)):
@@ -293,3 +294,44 @@ def test_fit_minimises_the_nonnegative_risk():
     assert least < 0.1
     for _ in range(50):
         assert risk(m.weight + rng.normal(0, 0.3, 6), m.bias + rng.normal(0, 0.3), scaled(p), scaled(mixed), 0.7) > least - 0.01
+
+
+def carriers(df, name="text"):
+    """Exchanges in the plan of ``df`` that carry the column ``name``."""
+    said = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return len(re.findall(rf"\) Exchange\nInput \[\d+\]: \[[^\n]*\b{name}#", said))
+
+
+def test_mix_exchanges_texts_once_and_sharding_never(spark, small_docs, monkeypatch):
+    docs = spark.createDataFrame(small_docs.collect(), small_docs.schema).repartition(3)
+    want = sorted(map(str, mixing.mix(docs).collect())), sorted(map(str, sharding.with_shards(docs, n_shards=5).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    monkeypatch.setattr(shared, "BLOCK_BITS", 3)
+    try:
+        scan = shared.cut(docs, "test-documents")
+        for made, most, want in ((lambda: mixing.mix(scan), 1, want[0]), (lambda: sharding.with_shards(scan, n_shards=5), 0, want[1])):
+            seen = []
+            for module in (mixing, sharding):
+                monkeypatch.setattr(module, "cut", lambda df, name: (seen.append(carriers(df)), shared.cut(df, name))[1])
+            out = made()
+            assert sum(seen) + carriers(out) == most
+            assert sorted(map(str, out.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_columns_beside_rows_that_stay(spark, monkeypatch):
+    monkeypatch.setattr(shared, "BLOCK_BITS", 4)
+    docs = spark.range(300).repartition(7).withColumn("a.b`c", F.lit(None).cast("string")).withColumn("row_block", F.col("id") * 2)
+    kept = shared.numbered(docs, "row", "test-numbered")
+    slim = kept.select("row", (F.col("id") * 3).alias("v"), F.lit("x").alias("w"))
+    for few in (slim, shared.cut(slim, "test-slim")):
+        out = shared.beside(kept, few, "row")
+        assert out.columns == ["id", "a.b`c", "row_block", "row", "v", "w"] and (few is slim or not carriers(out, "id"))
+        got = out.collect()
+        assert sorted(r.id for r in got) == list(range(300)) and all((r.row_block, r.v, r.w, r["a.b`c"]) == (2 * r.id, 3 * r.id, "x", None) for r in got)
+    with pytest.raises(Exception, match="a row has nothing beside it"):  # none is dropped in silence
+        shared.beside(kept, slim.where("v <> 30"), "row").collect()
+    none = shared.numbered(docs.limit(0), "row", "test-numbered")
+    assert shared.beside(none, none.select("row", F.lit(1).alias("v")), "row").collect() == []
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tessera_")]
