@@ -57,7 +57,22 @@ def perplexity(scored: DataFrame, by: list[str], logp: str = "logp") -> DataFram
         F.count("*").alias("n"), F.avg(lp).alias("mean"), F.avg(F.when(known, lp)).alias("mean_ident"),
         F.count_if(F.col("is_ident")).alias("idents"), F.count_if(F.col("is_ident") & (F.col("w") == "<ID>")).alias("oov"),
     )
+    return _reported(grouped, by)
+
+
+def _reported(grouped: DataFrame, by: list[str]) -> DataFrame:
     return grouped.select(
         *by, "n", F.round(F.exp(-F.col("mean")), 6).alias("perplexity"), F.round(-F.col("mean") / F.log(F.lit(2.0)), 6).alias("bits"),
         F.round(F.exp(-F.col("mean_ident")), 6).alias("ident_perplexity"), F.round(F.col("oov") / F.greatest("idents", F.lit(1)), 6).alias("oov_rate"),
     )
+
+
+def perplexity_of_counts(scored: DataFrame, by: list[str], logp: str = "logp", n: str = "n") -> DataFrame:
+    """``perplexity`` of rows that stand for ``n`` equal positions each, with is_ident and known (the vocabulary has the word)."""
+    of_known = F.col("is_ident") & F.col("known")
+    times, lp = F.col(n), F.col(logp)
+    grouped = scored.groupBy(*by).agg(
+        F.sum(times).alias("n"), (F.sum(lp * times) / F.sum(times)).alias("mean"), (F.sum(F.when(of_known, lp * times)) / F.sum(F.when(of_known, times))).alias("mean_ident"),
+        F.sum(F.when(F.col("is_ident"), times).otherwise(0)).alias("idents"), F.sum(F.when(F.col("is_ident") & ~F.col("known"), times).otherwise(0)).alias("oov"),
+    )
+    return _reported(grouped, by)
