@@ -13,6 +13,8 @@ from tessera.sources.storage import cut
 
 #: Steps per nat of stored weights, and their bounds.
 STEPS, MOST_PRIOR, MOST_PMI = 16, 255, 127
+#: Present imports whose partners a task sums up; each has a few dozen at most.
+PART_PRESENT = 100_000
 
 
 def q_logp(p: Column) -> Column:
@@ -68,6 +70,22 @@ def count(uses: DataFrame) -> Counters:
     )
 
 
+def count_baskets(baskets: DataFrame) -> Counters:
+    """``count`` of (doc, items), one row a document with its distinct items (array<struct<path, name>>), whose paths and names are ids.
+
+    Every counter is made of a document's own row; a pair is one long until it is counted.
+    """
+    paths = baskets.select(F.array_distinct(F.transform("items", lambda x: x["path"])).alias("p"))
+    names = baskets.select(F.explode(F.array_distinct(F.transform("items", lambda x: x["name"]))).alias("name"))
+    both = baskets.select(F.explode("items").alias("x")).groupBy(F.col("x.name").alias("name"), F.col("x.path").alias("path")).agg(F.count("*").alias("c"))
+    ahead = F.transform("p", lambda a: F.transform(F.filter("p", lambda b: b > a), lambda b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))))
+    pairs = paths.select(F.explode(F.flatten(ahead)).alias("x")).groupBy("x").agg(F.count("*").alias("c"))
+    return Counters(
+        baskets.agg(F.count("*").alias("docs")), paths.select(F.explode("p").alias("path")).groupBy("path").agg(F.count("*").alias("c")), names.groupBy("name").agg(F.count("*").alias("c")), both,
+        pairs.select(F.shiftright("x", 32).cast("int").alias("a"), F.col("x").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("b"), "c"),
+    )
+
+
 def merged(parts: list[DataFrame], key: list[str]) -> DataFrame:
     """Counters of several runs as one."""
     out = parts[0]
@@ -123,25 +141,38 @@ def rank_imports(queries: DataFrame, context: DataFrame, prior: DataFrame, pmi:
     """query, path, score, rank for queries (query, name) with present imports ``context`` (query, path).
 
     Score: ln p(path | name) + weight * sum of PMI with the present imports, a pair read from either side.
+    A query has one row and one name; its list of paths stays one row until it is ranked.
     """
-    asked = queries.join(prior.select("name", "path", "q"), "name")
-    ctx = context.join(known.select("path"), "path", "left_semi").select("query", F.col("path").alias("present"))
-    sizes = ctx.groupBy("query").agg(F.count("*").alias("n_ctx"))
-    pairs = asked.select("query", "path").join(ctx, "query").where("path <> present")
-    one = pmi.select("path", F.col("other").alias("present"), F.col("q").alias("q1"))
-    two = pmi.select(F.col("path").alias("present"), F.col("other").alias("path"), F.col("q").alias("q2"))
-    found = pairs.join(one, ["path", "present"], "left").join(two, ["path", "present"], "left").groupBy("query", "path").agg(F.sum(F.coalesce("q1", "q2", F.lit(0))).alias("pmi"))
-    n = F.coalesce("n_ctx", F.lit(0))
-    scale = {"sum": F.lit(1.0), "sqrt": F.when(n > 0, 1 / F.sqrt(F.greatest(n, F.lit(1)))).otherwise(0.0), "mean": F.when(n > 0, 1 / F.greatest(n, F.lit(1))).otherwise(0.0)}[norm]
-    scored = asked.join(sizes, "query", "left").join(found, ["query", "path"], "left")
-    score = (-F.col("q") + weight * F.coalesce("pmi", F.lit(0)) * scale) / STEPS
-    return scored.select("query", "path", score.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "path")))
+    # what a name's paths and a present import have in common, for pairs that have it: prior holds few paths a name
+    own = prior.select("name", "path", "q")
+    one = pmi.select("path", F.col("other").alias("present"), F.lit(0).alias("side"), "q")
+    two = pmi.select(F.col("other").alias("path"), F.col("path").alias("present"), F.lit(1).alias("side"), "q")
+    sides = one.unionByName(two).join(own.select("path").distinct(), "path", "left_semi").where("path <> present")
+    related = sides.groupBy("path", "present").agg(F.min_by("q", "side").alias("pair_q")).join(own.select("name", "path"), "path")
+    near = context.select("query", F.col("path").alias("present")).join(queries, "query").join(related, ["name", "present"])
+    near = near.join(known.select(F.col("path").alias("present")), "present", "left_semi")
+    found = near.groupBy("query", "path").agg(F.sum("pair_q").alias("pmi")).groupBy("query").agg(F.collect_list(F.struct("path", "pmi")).alias("found"))
+    lists = own.groupBy("name").agg(F.collect_list(F.struct("path", "q")).alias("list"))
+    scored = queries.join(lists, "name").join(found, "query", "left")
+    scale = F.lit(1.0)
+    if norm != "sum":
+        sizes = context.join(known.select("path"), "path", "left_semi").groupBy("query").agg(F.count("*").alias("n_ctx"))
+        scored, n = scored.join(sizes, "query", "left"), F.greatest(F.coalesce("n_ctx", F.lit(0)), F.lit(1))
+        scale = F.when(F.col("n_ctx") > 0, 1 / {"sqrt": F.sqrt(n), "mean": n}[norm]).otherwise(0.0)
+    empty = F.array().cast("array<struct<path:" + prior.schema["path"].dataType.simpleString() + ",pmi:bigint>>")
+    met = F.coalesce("found", empty)
+    pair = lambda x: F.aggregate(F.filter(met, lambda f: f["path"] == x["path"]), F.lit(0).cast("long"), lambda acc, f: acc + f["pmi"])
+    each = F.transform("list", lambda x: F.struct(x["path"].alias("path"), ((-x["q"] + weight * pair(x) * scale) / STEPS).alias("score")))
+    order = F.array_sort(F.transform(each, lambda x: F.struct((-F.round(x["score"], 9)).alias("minus"), x["path"].alias("path"), x["score"].alias("score"))))
+    return scored.select("query", F.posexplode(order).alias("place", "x")).select("query", "x.path", "x.score", (F.col("place") + 1).alias("rank"))
 
 
 def rank_co_imports(context: DataFrame, pmi: DataFrame, path_doc: DataFrame, docs: DataFrame, limit: int = 20) -> DataFrame:
     """query, path, score, rank: what usually goes with the present imports, which are not returned themselves."""
-    near = context.join(pmi.select("path", "other", "q"), "path").select("query", F.col("other").alias("path"), "q")
-    fresh = near.join(context, ["query", "path"], "left_anti").groupBy("query", "path").agg(F.sum("q").alias("pmi"))
+    beside = context.groupBy("query").agg(F.collect_set("path").alias("present"))
+    near = beside.select("query", "present", F.explode("present").alias("own")).join(pmi.select(F.col("path").alias("own"), F.col("other").alias("path"), "q"), "own")
+    parts = max(1, -(-context.count() // PART_PRESENT))
+    fresh = near.where(~F.array_contains("present", F.col("path"))).select("query", "path", "q").repartition(parts, "query").groupBy("query", "path").agg(F.sum("q").alias("pmi"))
     prior = path_doc.crossJoin(F.broadcast(docs)).select("path", q_logp(F.col("c") / F.col("docs")).alias("prior"))
     scored = fresh.join(prior, "path").select("query", "path", ((F.col("pmi") - F.col("prior")) / STEPS).alias("score"))
     return top_per(scored, ["query"], [F.round("score", 9).desc(), F.col("path")], limit)
@@ -178,6 +209,7 @@ def unique_declaration(idents: DataFrame, usings: DataFrame, declared: DataFrame
     return hits.select("doc", "name", "path").distinct().withColumn("n", F.count("*").over(Window.partitionBy("doc", "name"))).where("n = 1").drop("n")
 
 
-def saved(c: Counters) -> Counters:
-    """Counters written once, for several uses."""
-    return Counters(*[cut(getattr(c, f), f"imports-{f}") for f in ("docs", "path_doc", "name_doc", "name_path", "pair")])
+def saved(c: Counters, min_pair: int = 1) -> Counters:
+    """Counters written once, for several uses; of the pairs only those seen ``min_pair`` times, where no use asks for others."""
+    kept = {"pair": c.pair.where(F.col("c") >= min_pair)}
+    return Counters(*[cut(kept.get(f, getattr(c, f)), f"imports-{f}") for f in ("docs", "path_doc", "name_doc", "name_path", "pair")])

@@ -96,3 +96,24 @@ def test_marks_need_no_semicolons(spark, odd):
     assert PROSE.auto_semicolon is False
     with pytest.raises(ValueError, match="token_table"):
         lexing.token_rows(odd, GO)
+
+
+def test_baskets_hold_no_text(spark):
+    from tessera.plans import importing
+
+    b = importing.baskets(spark, SF)
+    assert b.rows.schema.simpleString() == "struct<doc:bigint,items:array<struct<path:int,name:int>>,hidden:struct<path:int,name:int>>"
+    ordered = [r.text for r in b.paths.orderBy("id").collect()]
+    assert ordered == sorted(ordered) and len(set(ordered)) == len(ordered)
+
+
+def test_ranking_makes_no_row_a_path_and_present_import(spark):
+    from tessera.operators import importing
+
+    prior = spark.createDataFrame([("n", p, p) for p in range(16)], "name string, path int, q int")
+    pmi = spark.createDataFrame([(1, 100, 5)], "path int, other int, q int")
+    context = spark.createDataFrame([(1, p) for p in range(100, 150)], "query long, path int")
+    known = spark.createDataFrame([(p,) for p in range(200)], "path int")
+    ranked = importing.rank_imports(spark.createDataFrame([(1, "n")], "query long, name string"), context, prior, pmi, known)
+    assert [r.path for r in ranked.orderBy("rank").collect()][:2] == [1, 0] and ranked.count() == 16
+    assert "[query" not in "".join(x for x in plan(ranked).split("\n") if "Join" in x and "path" in x)  # the old plan joined on (query, path)
