@@ -117,3 +117,29 @@ def test_ranking_makes_no_row_a_path_and_present_import(spark):
     ranked = importing.rank_imports(spark.createDataFrame([(1, "n")], "query long, name string"), context, prior, pmi, known)
     assert [r.path for r in ranked.orderBy("rank").collect()][:2] == [1, 0] and ranked.count() == 16
     assert "[query" not in "".join(x for x in plan(ranked).split("\n") if "Join" in x and "path" in x)  # the old plan joined on (query, path)
+
+
+def test_signatures_of_arrays(spark):
+    from tessera.operators import dedup
+
+    draw = random.Random(5)
+    words = [[f"w{draw.randrange(900)}é" for _ in range(n)] for n in (0, 3, 5, 6, 40, 9000)] + [None, ["a"] * 9]
+    df = spark.createDataFrame(list(enumerate(words)), "key long, words array<string>")
+    want = {r.key: r.sig for r in dedup.signatures(df, "key").collect()}
+    got = dedup.array_signatures(df, "key", [])
+    assert {r.key: r.sig for r in got.collect()} == {i: want.get(i) for i in range(len(words))} and want[5]
+    assert "Exchange" not in plan(got)  # each distinct word of a file was a row with 128 minima
+
+
+def test_set_pairs_are_judged_where_they_meet(spark):
+    from tessera.operators import dedup
+
+    draw = random.Random(6)
+    base = [f"w{i}" for i in range(3000)]
+    sets = [(i, "b", draw.sample(base[: 700 if i % 2 else 3000], 200 + i)) for i in range(12)]
+    sets += [(100 + i, "b", [*s[2][: -(i + 1) * 5], f"x{i}"]) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(sets, "key long, block string, words array<string>")
+    pairs = dedup.jaccard_pairs(df, "key", "block", 0.8)
+    want = {(a[0], b[0]) for a in sets for b in sets if a[0] < b[0] and len(set(a[2]) & set(b[2])) >= 0.8 * len(set(a[2]) | set(b[2]))}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 5
+    assert any("bit_count" in x and "Join" in x for x in plan(pairs).split("\n"))
