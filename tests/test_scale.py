@@ -143,3 +143,23 @@ def test_set_pairs_are_judged_where_they_meet(spark):
     want = {(a[0], b[0]) for a in sets for b in sets if a[0] < b[0] and len(set(a[2]) & set(b[2])) >= 0.8 * len(set(a[2]) | set(b[2]))}
     assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 5
     assert any("bit_count" in x and "Join" in x for x in plan(pairs).split("\n"))
+
+
+def test_merges_of_words_side_by_side(spark):
+    import numpy as np
+
+    from tessera.functions import bytepairs as pieces
+    from tessera.operators import bytepairs
+
+    draw = random.Random(7)
+    words = [bytes(draw.choice(b"aab") for _ in range(n)) for n in (0, 1, 2, 3, 9, 40, 128, 4)]
+    merges = [(97, 97), (256, 97), (97, 98), (256, 256)]
+    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+    of = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    flat, of = bytepairs.merged(flat, of, merges, 256)
+    assert [flat[of == i].tolist() for i in range(len(words))] == [pieces.encode_piece(w, pieces.ranks_of(merges)) for w in words]
+    files = spark.createDataFrame([(0, "aab aab"), (1, None), (2, ""), (3, "aab")], "file_id long, text string")
+    assert "Exchange" not in plan(bytepairs.encode(files, merges))  # pieces were exchanged, and again by file
+    table = bytepairs.word_table(files)
+    by_batch, by_row = bytepairs.pair_totals(bytepairs.bytes_of(table)), bytepairs.pair_counts(bytepairs.bytes_of(table))
+    assert sorted(by_batch.collect()) == sorted(by_row.collect()) and by_batch.count() > 2
